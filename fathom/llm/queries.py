@@ -3,20 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .exact_dedup import exact_duplicates
 from .ngram_join import similarity_components
+from .packing import pack_documents
+from .sharding import shard_by_bytes
+from .token_store import write_tokens
+
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=24)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID, capacity=1024)
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_tokens(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID).read().select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_sharding": op6_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_output": op9_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": """
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+        FROM (SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, sha256(coalesce(text, '')) AS text_sha256
+              FROM documents WINDOW same AS (PARTITION BY coalesce(text, '')))
+    """,
+}
