@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI that Spark can open."""
@@ -51,8 +53,13 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back: cuts the lineage, and survives the loss of any executor."""
-        path = self.path(f"{name}-{uuid.uuid4().hex[:6]}")
-        df.write.parquet(path)
+    def table(self, df: DataFrame, name: str, arrow_rows: int = 2000) -> DataFrame:
+        """Write df once and read it back: cuts the lineage, and survives the loss of any executor. While it is
+        written, batches for Python hold arrow_rows rows, which bounds a worker's memory when texts are long."""
+        path, before = self.path(f"{name}-{uuid.uuid4().hex[:6]}"), self.spark.conf.get(_ARROW_ROWS)
+        self.spark.conf.set(_ARROW_ROWS, arrow_rows)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_ARROW_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(path)
