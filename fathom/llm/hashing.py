@@ -16,7 +16,7 @@ _TABLES: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i (mod 2**64) for 0 <= i < n."""
     if len(_TABLES.get("up", ())) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = -(-n >> 18) + 1 << 18
         with np.errstate(over="ignore"):
             for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
                 table = np.full(size, base, dtype=np.uint64)

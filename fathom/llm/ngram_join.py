@@ -33,10 +33,16 @@ from .shingles import shingle_sets
 TILE = 2048
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def _describe(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = PartEnum(percent)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, first, second, sketches = [], [], [], []
             for _, features in shingle_sets(batch.column("text").to_pylist(), width):
                 sizes.append(len(features))
@@ -51,7 +57,7 @@ def _describe(width: int, percent: int):
 def _sign(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = PartEnum(percent)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             seen, held, total = set(), [], 0
             for at, features in shingle_sets(batch.column("text").to_pylist(), width):
@@ -61,7 +67,7 @@ def _sign(width: int, percent: int):
                     codes, of = scheme.signatures(features)
                     held.append((ids[at], codes, of))
                     total += len(codes)
-                if total > 500_000:
+                if total > 200_000:
                     yield _chunk(held)
                     held, total = [], 0
             if held:
@@ -136,7 +142,7 @@ def _across(percent: int):
 
         def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             pairs = {p for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)} - seen
-            if len(seen) > 1_000_000:
+            if len(seen) > 50_000:
                 seen.clear()
             seen.update(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
@@ -164,8 +170,8 @@ def _linked(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
                 sets = [f for _, f in shingle_sets(part.column("ta").to_pylist() + part.column("tb").to_pylist(), width)]
                 for i in range(part.num_rows):
                     one, two = sets[i], sets[i + part.num_rows]
