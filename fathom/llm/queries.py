@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
+from .decontamination import decontaminate
 from .exact_dedup import exact_duplicates
 from .ngram_join import similarity_components
 from .packing import pack_documents
@@ -24,16 +26,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(column: str, divisor: int) -> Column:
+    """crc32 of a number's decimal text, modulo divisor."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _remainder("id", 5) != 0)
+    predicted = toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return predicted.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, _remainder("doc_id", 4) != 2)
+    return language_id.identify(docs, model).select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID, capacity=1024)
 
@@ -46,12 +66,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=13, percent=5)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_output": op9_token_output,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
