@@ -1,7 +1,9 @@
 """Toxicity scores from averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
-A text's features are its words and their character n-grams (word edges included), hashed into buckets. Every bucket
-has an embedding; a text's vector is the average over all its features; a linear softmax over two classes scores it.
+A text's features are its distinct words and their character n-grams (word edges included), hashed into buckets. Every
+bucket has an embedding; a text's vector is the average over its features and PADDING zero vectors (which keep a text of
+few words from an extreme score); a linear softmax over two classes scores it. Repeats count by their logarithm, so that
+a text that repeats itself is not judged by one word.
 Misspelt words that were never seen share n-grams with those that were. Only text goes into a score.
 
 Applying a trained model needs one number per bucket: the difference of the two class scores of its embedding.
@@ -20,15 +22,20 @@ from pyspark.sql import functions as F
 from . import chars as ch
 from .hashing import chunks_of, slice_hashes
 
-BUCKET_BITS, DIM, GRAMS = 17, 8, (3, 4, 5)
+BUCKET_BITS, DIM, GRAMS = 17, 4, (4, 5)
 CHUNK_CHARS = 1 << 19
 #: Labelled rows of each class that a model is fitted on, at most (those with the smallest hashes of their ids).
 TRAIN_ROWS = 1500
-EPOCHS, RATE, GAIN, DECAY = 60, 0.05, 100.0, 1e-4
+EPOCHS, GAIN, MIN_TEXTS = 100, 100.0, 5
+#: Zero vectors that each average has besides.
+PADDING = 100
+#: Steps for the embeddings, the softmax weights and its bias.
+RATES = (6.0, 0.03, 0.3)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of a chunk, and the text that each belongs to (in ascending order)."""
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the distinct features of each text of a chunk, the text that each belongs to (in order), and its
+    weight there: 1 + ln of how often it occurs."""
     codes, begins = ch.joined([t.lower() for t in texts])
     inside = (ch.letters(codes) > 0) | ((codes >= 48) & (codes <= 57))
     starts, ends = ch.runs(inside)
@@ -48,7 +55,11 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 found.append((code >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
                 where.append(at + 1)
     buckets, places = np.concatenate(found), np.concatenate(where)
-    return buckets, np.searchsorted(begins, places, side="right") - 1
+    keys = np.sort((np.searchsorted(begins, places, side="right") - 1) << BUCKET_BITS | buckets)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    weights = 1 + np.log(np.diff(np.append(first, len(keys))))
+    keys = keys[first]
+    return (keys & ((1 << BUCKET_BITS) - 1)).astype(np.int32), keys >> BUCKET_BITS, weights
 
 
 @dataclass(frozen=True)
@@ -60,45 +71,53 @@ class ToxicityModel:
         """Probability of label 1 for each text; a text without features gets the bias alone."""
         out = np.zeros(len(texts))
         for begin, end in chunks_of([len(t) for t in texts], CHUNK_CHARS):
-            buckets, owner = features(texts[begin:end])
-            sums = np.bincount(owner, weights=self.weights[buckets], minlength=end - begin)
-            out[begin:end] = sums / np.maximum(np.bincount(owner, minlength=end - begin), 1)
+            buckets, owner, often = features(texts[begin:end])
+            sums = np.bincount(owner, weights=self.weights[buckets] * often, minlength=end - begin)
+            out[begin:end] = sums / (np.bincount(owner, weights=often, minlength=end - begin) + PADDING)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> ToxicityModel:
-    """Full-batch Adam on the cross entropy, classes weighted alike. rows: (distinct buckets, their shares of a text)."""
+    """Embeddings and softmax together, by gradient descent with momentum on the cross entropy of all rows; classes
+    weigh alike. rows: (distinct buckets, their shares of a text). Steps are not scaled per parameter: what many
+    texts of a class share must move faster than what one text alone has, or rare features would be learned by heart.
+    Buckets of fewer than MIN_TEXTS texts are left out and weigh nothing."""
     if not len(labels) or labels.min() == labels.max():
         base = float(labels[0]) if len(labels) else 0.0
         return ToxicityModel(np.zeros(1 << BUCKET_BITS), 4.0 * base - 2.0)
-    used, index = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
-    share = np.concatenate([s for _, s in rows]).astype(np.float32) * np.float32(GAIN)
-    cuts = np.concatenate(([0], np.cumsum([len(b) for b, _ in rows])))
-    owner = np.repeat(np.arange(len(rows)), np.diff(cuts))
-    full = np.diff(cuts) > 0
+    buckets = np.concatenate([b for b, _ in rows])
+    often = np.bincount(buckets, minlength=1 << BUCKET_BITS) >= min(MIN_TEXTS, len(rows))
+    keep = often[buckets]
+    used = np.flatnonzero(often)
+    index = (np.cumsum(often) - 1)[buckets[keep]]
+    share = np.concatenate([s for _, s in rows])[keep].astype(np.float32) * np.float32(GAIN)
+    owner = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])[keep]
+    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    full = np.flatnonzero(np.diff(cuts))
     random = np.random.default_rng(seed)
-    table = random.uniform(-1 / DIM, 1 / DIM, (len(used), DIM)).astype(np.float32)
-    linear, bias = random.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
-    target = np.eye(2, dtype=np.float32)[labels]
-    weight = (1 / np.bincount(labels, minlength=2) / 2)[labels].astype(np.float32)[:, None]
+    table = random.uniform(-1 / DIM, 1 / DIM, (DIM, len(used))).astype(np.float32)
+    linear, bias = random.normal(0, 0.3, (DIM, 2)), np.zeros(2)
+    target = np.eye(2)[labels]
+    weight = (1 / np.bincount(labels, minlength=2) / 2)[labels][:, None]
     params = [table, linear, bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for epoch in range(1, EPOCHS + 1):
-        mean = np.zeros((len(rows), DIM), dtype=np.float32)
+    pace = [np.zeros_like(p) for p in params]
+    for _ in range(EPOCHS):
+        mean = np.zeros((len(rows), DIM))
         for d in range(DIM):
-            mean[full, d] = np.add.reduceat(table[index, d] * share, cuts[:-1][full])
+            if len(full):
+                mean[full, d] = np.add.reduceat(table[d][index] * share, cuts[full])
         logits = mean @ linear + bias
         prob = np.exp(logits - logits.max(axis=1, keepdims=True))
         prob /= prob.sum(axis=1, keepdims=True)
         delta = (prob - target) * weight
-        back = delta @ linear.T
-        grad = np.stack([np.bincount(index, weights=back[owner, d] * share, minlength=len(used)) for d in range(DIM)], axis=1).astype(np.float32)
-        for i, (p, g) in enumerate(zip(params, (grad + DECAY * table / len(used), mean.T @ delta, delta.sum(axis=0)), strict=True)):
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.99 * second[i] + 0.01 * g * g
-            p -= RATE * (first[i] / (1 - 0.9**epoch)) / (np.sqrt(second[i] / (1 - 0.99**epoch)) + 1e-10)
+        back = (delta @ linear.T).astype(np.float32)
+        grad = np.stack([np.bincount(index, weights=back[owner, d] * share, minlength=len(used)) for d in range(DIM)]).astype(np.float32)
+        for p, v, g, rate in zip(params, pace, (grad, mean.T @ delta, delta.sum(axis=0)), RATES, strict=True):
+            v *= 0.9
+            v += g
+            p -= rate * v
     weights = np.zeros(1 << BUCKET_BITS)
-    weights[used] = GAIN * (table @ (linear[:, 1] - linear[:, 0]))
+    weights[used] = GAIN * (table.T @ (linear[:, 1] - linear[:, 0]))
     return ToxicityModel(weights, float(bias[1] - bias[0]))
 
 
@@ -120,9 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: F.Column | None = None,
         for batch in batches:
             texts, found, shares = [t or "" for t in batch.column("text").to_pylist()], [], []
             for text in texts:
-                buckets, counts = np.unique(features([text])[0], return_counts=True)
+                buckets, _, often = features([text])
                 found.append(buckets.tobytes())
-                shares.append((counts / max(1, counts.sum())).astype(np.float32).tobytes())
+                shares.append((often / (often.sum() + PADDING)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(found, pa.binary()), pa.array(shares, pa.binary())], ["id", "label", "buckets", "shares"])
 
     got = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, buckets binary, shares binary").toPandas().sort_values("id", kind="stable")
