@@ -16,7 +16,7 @@ def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def _flagged(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+def maybe_members(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """rows with _maybe: false if the key is surely not among the members."""
     own = _bit(F.col(member).cast(rows.schema[key].dataType))
     words = members.select(F.shiftright(own, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), own.bitwiseAND(F.lit(63)).cast("int")).alias("_mask"))
@@ -28,11 +28,11 @@ def _flagged(rows: DataFrame, key: str, members: DataFrame, member: str) -> Data
 
 def may_match(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """The rows whose key is among the members, and few others."""
-    return _flagged(rows, key, members, member).where("_maybe").drop("_maybe")
+    return maybe_members(rows, key, members, member).where("_maybe").drop("_maybe")
 
 
 def without(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """The rows whose key is not among the members; rows with a null key stay. Only rows in doubt are shuffled."""
-    flagged = _flagged(rows, key, members, member)
+    flagged = maybe_members(rows, key, members, member)
     gone = members.select(F.col(member).cast(rows.schema[key].dataType).alias(key)).distinct()
     return flagged.where("not _maybe").drop("_maybe").unionByName(flagged.where("_maybe").drop("_maybe").join(gone, key, "left_anti")).select(*rows.columns)

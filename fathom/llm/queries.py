@@ -12,6 +12,7 @@ from .ngram_join import similarity_components
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .token_store import write_tokens
+from .warc import write_archive
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
@@ -43,6 +44,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = write_archive(_table(spark, sf_dir, "pages"))
+    return archive.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "place")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -74,6 +80,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,

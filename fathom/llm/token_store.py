@@ -47,7 +47,7 @@ def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def put(uri: str, data: bytes) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
@@ -104,7 +104,7 @@ class _Writer:
     def __init__(self, uri: str, width: int, dictionary: bytes):
         self.uri, (fs, path) = uri, filesystem(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.out, self.index, self.at, self.tokens = fs.open_output_stream(path), [], 0, 0
+        self.out, self.index, self.at, self.tokens = fs.open_output_stream(path, compression=None), [], 0, 0
         head = json.dumps({"width": width, "dictionary": hashlib.sha256(dictionary).hexdigest()}).encode()
         self._put(MAGIC + struct.pack("<i", len(head)) + head)
 
