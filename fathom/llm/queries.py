@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language_id, toxicity
 from .decontamination import decontaminate
 from .exact_dedup import exact_duplicates
+from .html_extract import extract
 from .ngram_join import similarity_components
 from .packing import pack_documents
 from .sharding import shard_by_bytes
@@ -17,7 +18,7 @@ from .warc import write_archive
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -61,11 +62,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID, capacity=1024)
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, capacity=1024)
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_tokens(_table(spark, sf_dir, "documents"), _tokenizer(), END_ID).read().select("doc_id", "start", "n_tokens", "ids_crc32")
+    return write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID).read().select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
