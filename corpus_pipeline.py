@@ -1,8 +1,74 @@
-"""Corpus pipeline (in preparation)."""
+"""The corpus pipeline: language ID, exact dedup, near-duplicate join, benchmark decontamination, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's result as Parquet in the
+shared folder and reads it again as the next stage's docs. All stages but the last return the columns of documents.
+doc_id identifies a document: rows that repeat it are kept or dropped together, and rows without one are kept by the
+stages that compare documents, as they cannot be told apart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.llm import language_id
+from fathom.llm.decontamination import decontaminate
+from fathom.llm.exact_dedup import exact_duplicates
+from fathom.llm.members import without
+from fathom.llm.ngram_join import similarity_components
+from fathom.llm.packing import pack_documents
+from fathom.llm.queries import END_ID, tokenizer_path
+from fathom.storage import Workspace
+
+def _dropped(spark: SparkSession, found: DataFrame) -> DataFrame:
+    return Workspace(spark, "pipeline-dropped").table(found.select("doc_id").where("doc_id is not null"), "dropped")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be determined: those without a letter."""
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model)
+    return without(docs, "doc_id", _dropped(spark, found.where(F.col("lang_pred") == language_id.UNDETERMINED)), "doc_id")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest doc_id stays."""
+    found = exact_duplicates(docs).withColumnRenamed("id", "doc_id")
+    return without(docs, "doc_id", _dropped(spark, found.where("not kept")), "doc_id")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest doc_id stays."""
+    found = similarity_components(docs)
+    return without(docs, "doc_id", _dropped(spark, found.where("component_id <> doc_id")), "doc_id")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are contaminated with benchmark passages; the others keep their whole text."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, "doc_id", _dropped(spark, found.where("contaminated")), "doc_id")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens."""
+    return pack_documents(docs, tokenizer_path(), END_ID, capacity=1024)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The first stage is a trained classifier, which SQL cannot express; tests/llm checks run() against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
