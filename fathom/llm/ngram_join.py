@@ -7,10 +7,12 @@
 3. Each set is checked against its likeliest partners (the bucket's first member and its neighbour in the bucket,
    those with the most common signatures). That is linear and joins most of what belongs together.
 4. What is left are buckets that still hold several components. There all pairs across components are compared in
-   tiles of bounded size by one-byte sketches, which can only rule out pairs that are surely too different.
-5. Pairs that pass are compared by the words of their texts, and components are formed from the verified links.
+   tiles of bounded size by one-byte sketches, which can only rule out pairs that are surely too different. Components
+   with a pair that passes become one family (of a tile's pairs only those are passed on that connect it).
+5. In a family all texts of different components are compared, in tiles again, by sketches and then by their shingles,
+   until its links are known up to connection. Components of all verified links are the result.
 
-Sketches and signatures never lose a link; step 5 never adds one.
+Sketches and signatures never lose a link; what is verified in steps 3 and 5 never adds one.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 from fathom.operators.components import connected_components
 from fathom.storage import Workspace
 
+from .hashing import mix64
 from .members import may_match
 from .partenum import PartEnum
 from .shingles import shingle_sets
 
-#: Rows of a bucket that are compared with each other in one task.
-TILE = 2048
+#: Rows of a bucket, and texts of a family, that are compared with each other at a time.
+TILE, TILE_OF_TEXTS = 2048, 512
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -116,50 +119,107 @@ def _close(scheme: PartEnum, na: int, nb: int, sa: bytes, sb: bytes) -> bool:
     return False
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of rows that agree in keys, of rows sorted by them, as arrays by column."""
+    parts: list[dict[str, np.ndarray]] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    for batch in batches:
+        rows = {}
+        for c, column in zip(batch.schema.names, batch.columns, strict=True):
+            rows[c] = np.empty(len(column), dtype=object) if pa.types.is_binary(column.type) or pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False)
+            if rows[c].dtype == object:
+                rows[c][:] = column.to_pylist()
+        if not batch.num_rows:
+            continue
+        key = np.stack([rows[c].astype(np.int64) for c in keys])
+        starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
+        if parts and any(parts[-1][c][-1] != rows[c][0] for c in keys):
+            yield joined()
+            parts = []
+        for begin, end in zip(starts[:-1], starts[1:], strict=True):
+            parts.append({c: v[begin:end] for c, v in rows.items()})
+            if end < batch.num_rows:
+                yield joined()
+                parts = []
+    if parts:
+        yield joined()
+
+
+def _join_roots(roots: np.ndarray, i: int, others: np.ndarray) -> list[int]:
+    """Merge the groups of rows `others` with row i's; the first of others in each group that was merged."""
+    _, first = np.unique(roots[others], return_index=True)
+    chosen = others[first]
+    roots[np.isin(roots, roots[chosen])] = roots[i]
+    return chosen.tolist()
+
+
+def _may_link(rows: dict[str, np.ndarray], roots: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Rows after i, of another group and (in a pair of tiles) of the other tile, with a size that fits."""
+    rest = slice(i + 1, None)
+    fits = (roots[rest] != roots[i]) & (100 * np.minimum(rows["n"][rest], rows["n"][i]) >= percent * np.maximum(rows["n"][rest], rows["n"][i]))
+    if rows["x"][0] != rows["y"][0]:
+        fits &= rows["tile"][rest] != rows["tile"][i]
+    return np.flatnonzero(fits) + i + 1
+
+
 def _across(percent: int):
-    """Of sorted rows (sig, x, y, tile, inst, id, comp, n, sketch): the close pairs of different components."""
-
-    def compare(scheme: PartEnum, rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        inst, sizes, comps, ids, tiles = int(rows["inst"][0]), rows["n"], rows["comp"], rows["id"], rows["tile"]
-        sketches = np.vstack([np.frombuffer(s, dtype=np.uint8)[scheme.part_of_sketch(int(n), inst)] for s, n in zip(rows["sketch"], sizes, strict=True)])
-        one_tile = rows["x"][0] == rows["y"][0]
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            fits = (comps[rest] != comps[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
-            if not one_tile:
-                fits &= tiles[rest] != tiles[i]
-            others = np.flatnonzero(fits) + i + 1
-            if len(others):
-                differing = np.count_nonzero(sketches[others] != sketches[i], axis=1)
-                close = others[differing <= (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)]
-                if len(close):
-                    yield np.minimum(ids[close], ids[i]), np.maximum(ids[close], ids[i])
+    """Of sorted rows (sig, x, y, tile, inst, comp, n, sketch): pairs of components that close members connect. Per
+    tile at most one pair less than it has components, enough to connect all that close pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, names = PartEnum(percent), ("sig", "x", "y", "tile", "inst", "id", "comp", "n", "sketch")
-        open_rows: dict[str, np.ndarray] | None = None
-        seen: set[tuple[int, int]] = set()
-
-        def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            pairs = {p for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)} - seen
+        scheme, seen = PartEnum(percent), set()
+        for rows in _groups(batches, ("sig", "x", "y")):
+            inst, sizes, comps = int(rows["inst"][0]), rows["n"], rows["comp"]
+            sketches = np.vstack([np.frombuffer(s, dtype=np.uint8)[scheme.part_of_sketch(int(n), inst)] for s, n in zip(rows["sketch"], sizes, strict=True)])
+            roots, found = comps.copy(), set()
+            for i in range(len(comps) - 1):
+                others = _may_link(rows, roots, i, percent)
+                if len(others):
+                    differing = np.count_nonzero(sketches[others] != sketches[i], axis=1)
+                    close = others[differing <= (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)]
+                    found |= {(min(comps[i], comps[j]), max(comps[i], comps[j])) for j in _join_roots(roots, i, close)} if len(close) else set()
+            found -= seen
             if len(seen) > 50_000:
                 seen.clear()
-            seen.update(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            seen |= found
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            rows = {c: np.array(batch.column(c).to_pylist(), dtype=object) if c == "sketch" else batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            if open_rows is not None:
-                rows = {c: np.concatenate((open_rows[c], rows[c])) for c in names}
-            key = np.stack([rows[c].astype(np.int64) for c in ("sig", "x", "y")])
-            starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(rows["sig"])]))
-            found = []
-            for begin, end in zip(starts[:-2], starts[1:-1], strict=True):
-                found += compare(scheme, {c: v[begin:end] for c, v in rows.items()})
-            open_rows = {c: v[starts[-2] :] for c, v in rows.items()}
-            yield packed(found)
-        if open_rows is not None and len(open_rows["sig"]):
-            yield packed(list(compare(scheme, open_rows)))
+    return run
+
+
+def _within(width: int, percent: int):
+    """Of sorted rows (family, x, y, tile, id, comp, n, text): verified links that connect all components that links
+    connect; at most one less than there are components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("family", "x", "y")):
+            sets = [f for _, f in shingle_sets(list(rows["text"]), width)]
+            # A sketch as in PartEnum, over twice as many equal ranges as a middle-sized set has features.
+            bits = max(6, min(14, int(np.median(rows["n"])).bit_length() + 1))
+            inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            sketches = np.empty((len(sets), 1 << bits), dtype=np.uint8)
+            for i, features in enumerate(sets):
+                sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(features)))
+                cuts = np.concatenate(([0], np.searchsorted(features, inner), [len(features)]))
+                sketches[i] = (mix64(sums[cuts[1:]] - sums[cuts[:-1]]) >> np.uint64(56)).astype(np.uint8)
+            roots, found = rows["comp"].copy(), []
+            for i in range(len(sets) - 1):
+                others = _may_link(rows, roots, i, percent)
+                if not len(others):
+                    continue
+                differing = np.count_nonzero(sketches[others] != sketches[i], axis=1)
+                for j in others[differing <= (rows["n"][others] + rows["n"][i]) * (100 - percent) // (100 + percent)]:
+                    if roots[j] != roots[i]:
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                            found.append((rows["id"][i], rows["id"][j]))
+                            roots[roots == roots[j]] = roots[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -226,12 +286,23 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     node = classes.select("id", "rep").join(near.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("id", "rep", F.coalesce("comp", "rep").alias("comp"))
     rows = work.table(shared.select("sig", F.col("tag").bitwiseAND(F.lit(127)).alias("inst"), "id").join(node, "id").select("sig", "inst", F.col("rep").alias("id"), "comp").distinct(), "rows")
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    rows = rows.join(mixed.select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "sig").join(reps.withColumnRenamed("rep", "id"), "id")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("sig", F.least("tile", "with").alias("x"), F.greatest("tile", "with").alias("y"), "tile", "inst", "id", "comp", "n", "sketch")
-    close = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_across(percent), "a long, b long").distinct()
-    links = links.unionAll(verified(close, "across"))
+    rows = work.table(rows.join(mixed.select("sig", "size"), "sig"), "mixed")
+
+    def tiled(rows: DataFrame, size: str, tile: int) -> DataFrame:
+        """Each row once for every pair (x, y) of tiles that its own is part of."""
+        tiles = F.ceil(F.col(size) / tile).cast("int")
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        return rows.withColumn("x", F.least("tile", "with")).withColumn("y", F.greatest("tile", "with")).drop("with", size)
+
+    sketched = tiled(rows.join(reps.withColumnRenamed("rep", "id"), "id"), "size", TILE).select("sig", "x", "y", "tile", "inst", "comp", "n", "sketch")
+    close = sketched.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_across(percent), "a long, b long").distinct()
+    family = connected_components(close, work).select(F.col("node").alias("comp"), F.col("component").alias("family"))
+    members = work.table(rows.select("id", "comp").distinct().join(family, "comp"), "members")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    members = members.join(sizes, "family").join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    members = tiled(members.join(may_match(base, "id", members, "id"), "id"), "size", TILE_OF_TEXTS).select("family", "x", "y", "tile", "id", "comp", "n", "text")
+    more = members.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_within(width, percent), "a long, b long")
+    links = links.unionAll(work.table(more, "more-links", arrow_rows=500))
 
     whole = connected_components(links, work).select(F.col("node").alias("rep"), "component")
     final = classes.select("id", "rep").distinct().join(whole, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
