@@ -10,7 +10,8 @@ count as copies. Everything runs in DataFrame operators; no Python code touches
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,23 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside
 }
 
 
+@contextlib.contextmanager
+def _store(spark: SparkSession) -> Iterator[None]:
+    """The session's settings for the state store while it is written or read."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    try:
+        for k, v in _STORE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -53,17 +68,11 @@ class ExactDedup:
         inbox = self.work.path("inbox")
         arrivals = self._texts(docs).drop("text")
         arrivals.write.mode("append").parquet(inbox)
-        before = {k: self.spark.conf.get(k, None) for k in _STORE}
-        try:
-            for k, v in _STORE.items():
-                self.spark.conf.set(k, v)
+        with _store(self.spark):
             stream = self.spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(inbox)
             kept = stream.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("top"), F.count(F.lit(1)).alias("rows"))
             run = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.work.path("state")).trigger(availableNow=True).start()
             run.awaitTermination()
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
         """(digest, keep_id, locator, rows) as the state has them now."""
@@ -73,7 +82,8 @@ class ExactDedup:
 
     def resolve(self, docs: DataFrame) -> DataFrame:
         """(id, keep_id, group_size, kept, digest) for all documents that have been ingested."""
-        state = self.work.table(self.state(), "kept")
+        with _store(self.spark):
+            state = self.work.table(self.state(), "kept")
         single = state.where("rows = 1").select(F.col("keep_id").alias("id"), "keep_id", F.col("rows").alias("group_size"), F.lit(True).alias("kept"), "digest")
         hits = state.where("rows > 1")
         texts = may_match(self._texts(docs), "digest", hits, "digest")

@@ -89,7 +89,7 @@ def _chunk(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     first = np.concatenate(([True], codes[1:] != codes[:-1]))
     again = np.concatenate((first[1:], [True]))
     repeated = ~(first & again)
-    own = np.int32(int(np.uint64(held[0][0] + 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % ((1 << 23) - 1) + 1) << np.int32(7)
+    own = np.int32(int(mix64(np.array([held[0][0]], dtype=np.int64).view(np.uint64))[0]) % ((1 << 23) - 1) + 1) << np.int32(7)
     delegate = repeated & first
     codes, ids = np.concatenate((codes, codes[delegate])), np.concatenate((ids, ids[delegate]))
     tags = np.concatenate((np.where(repeated, tags | own, tags), tags[delegate]))
