@@ -13,6 +13,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,12 @@ class ExactDedup:
         self.work, self.files_per_batch = Workspace(spark, "exact-dedup"), files_per_batch
 
     def _texts(self, docs: DataFrame) -> DataFrame:
-        text = F.coalesce(F.col(self.text_col), F.lit(""))
-        return docs.select(self.digest(text).alias("digest"), F.col(self.id_col).alias("id"), text.alias("text"), F.input_file_name().alias("locator"))
+        text, place = F.coalesce(F.col(self.text_col), F.lit("")), F.input_file_name()
+        try:
+            docs.select(place)
+        except AnalysisException:  # not read from files of one source: the id alone locates a document
+            place = F.lit("")
+        return docs.select(self.digest(text).alias("digest"), F.col(self.id_col).alias("id"), text.alias("text"), place.alias("locator"))
 
     def ingest(self, docs: DataFrame) -> None:
         """Add documents to the state."""
