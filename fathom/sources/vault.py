@@ -29,7 +29,7 @@ def scan(spark: SparkSession, vault: str) -> DataFrame:
     """(source, raw) of every note below the folder; source is the path relative to it. Bytes that are no UTF-8 become
     replacement characters; unreadable files are skipped."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(vault)
-    root = vault.rstrip("/").rpartition(":")[2]
+    root = vault.rstrip("/").rpartition(":")[2].lstrip("/")
     inside = F.substring_index(F.col("path"), root + "/", -1)
     return files.select(inside.alias("source"), F.call_function("make_valid_utf8", F.col("content").cast("string")).alias("raw")).where(~is_excluded(F.col("source")) & ~is_generated(F.col("source")))
 

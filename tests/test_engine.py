@@ -24,7 +24,7 @@ def config(tmp_path_factory):
     for name, text in NOTES.items():
         (root / "vault" / name).parent.mkdir(parents=True, exist_ok=True)
         (root / "vault" / name).write_bytes(text.encode() + (b"\xff" if "fugue" in name else b""))
-    return EngineConfig(vault_path=f"file://{root}/vault", store_path=f"file://{root}/store", graph_path=f"file://{root}/graph", graph_weight=0.5, relevance_threshold=0.05)
+    return EngineConfig(vault_path=f"file://{root}/vault", store_path=f"file://{root}/store", graph_path=f"file://{root}/graph", graph_weight=0.5, graph_seed_notes=1, relevance_threshold=0.05)
 
 
 def test_whole_life(spark, config):
