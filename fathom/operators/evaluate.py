@@ -49,16 +49,15 @@ def regressed(flat: DataFrame, whole: DataFrame, k: int = 5) -> bool:
     return two < one
 
 
-def grep(files: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(query, source, matched, rank): files by how many of a query's distinct words they contain anywhere.
+def containing(files: DataFrame, patterns: DataFrame, id_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(source, pattern): which of the patterns (pattern) each text contains anywhere, each once.
 
-    The words of all queries (a stated set) become one automaton, which reads each file once and tells which of them
-    it contains, so only matches are moved.
+    The patterns are a stated set. They become one automaton, which reads each text once, so only matches are moved
+    and the work does not grow with texts times patterns. Null texts and empty patterns match nothing.
     """
-    words = queries.select("query", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("word"))
     automaton = ahocorasick.Automaton()
-    for row in words.select("word").distinct().collect():
-        automaton.add_word(row["word"], row["word"])
+    for row in patterns.where("pattern <> ''").select("pattern").distinct().collect():
+        automaton.add_word(row["pattern"], row["pattern"])
     automaton.make_automaton()
     shared = files.sparkSession.sparkContext.broadcast(automaton)
 
@@ -66,14 +65,20 @@ def grep(files: DataFrame, queries: DataFrame, k: int | None = None, id_col: str
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                own = {word for _, word in shared.value.iter(text)} if text and len(shared.value) else set()
+                own = {p for _, p in shared.value.iter(text)} if text and len(shared.value) else set()
                 at += [i] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["source", "word"])
+            yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["source", "pattern"])
+
+    base = files.select(F.col(id_col).alias("source"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, f"source {base.schema['source'].dataType.simpleString()}, pattern string")
 
-    base = files.select(F.col(id_col).alias("source"), F.lower(text_col).alias("text"))
-    found = base.mapInArrow(run, f"source {base.schema['source'].dataType.simpleString()}, word string")
-    scored = found.join(F.broadcast(words), "word").groupBy("query", "source").agg(F.count(F.lit(1)).alias("matched"))
+
+def grep(files: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(query, source, matched, rank): files by how many of a query's distinct words they contain anywhere."""
+    words = queries.select("query", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("pattern"))
+    found = containing(files.select(id_col, F.lower(text_col).alias("text")), words, id_col)
+    scored = found.join(words, "pattern").groupBy("query", "source").agg(F.count(F.lit(1)).alias("matched"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("matched").desc(), "source")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 

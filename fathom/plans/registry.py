@@ -170,8 +170,9 @@ _GOLD_SQL = "gold AS (SELECT b.item_id AS query, d.doc_id AS unit FROM benchmark
 
 
 def _gold(spark, sf):
-    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    return _t(spark, sf, "documents").join(F.broadcast(items), F.contains("text", "item")).groupBy("query").agg(F.collect_set("doc_id").alias("expected"))
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("pattern"))
+    found = evaluate.containing(_t(spark, sf, "documents"), items, "doc_id")
+    return found.join(items, "pattern").groupBy("query").agg(F.collect_set("source").alias("expected"))
 
 
 _SETTINGS = [(f"b{b}", s, w) for b in (0.0, 0.3, 0.5, 0.7, 1.0) for s, w in (("dense", 1.0), ("bm25", b))]
