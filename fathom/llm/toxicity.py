@@ -77,22 +77,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> ToxicityModel:
+def train(buckets: np.ndarray, shares: np.ndarray, sizes: np.ndarray, labels: np.ndarray, seed: int = 7) -> ToxicityModel:
     """Embeddings and softmax together, by gradient descent with momentum on the cross entropy of all rows; classes
-    weigh alike. rows: (distinct buckets, their shares of a text). Steps are not scaled per parameter: what many
+    weigh alike. buckets and shares: those of all texts, one text after the other; sizes: how many each has. Steps are not scaled per parameter: what many
     texts of a class share must move faster than what one text alone has, or rare features would be learned by heart.
     Buckets of fewer than MIN_TEXTS texts are left out and weigh nothing."""
     if not len(labels) or labels.min() == labels.max():
         base = float(labels[0]) if len(labels) else 0.0
         return ToxicityModel(np.zeros(1 << BUCKET_BITS), 4.0 * base - 2.0)
-    buckets = np.concatenate([b for b, _ in rows])
-    often = np.bincount(buckets, minlength=1 << BUCKET_BITS) >= min(MIN_TEXTS, len(rows))
+    n = len(labels)
+    often = np.bincount(buckets, minlength=1 << BUCKET_BITS) >= min(MIN_TEXTS, n)
     keep = often[buckets]
     used = np.flatnonzero(often)
     index = (np.cumsum(often) - 1)[buckets[keep]]
-    share = np.concatenate([s for _, s in rows])[keep].astype(np.float32) * np.float32(GAIN)
-    owner = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])[keep]
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    share = shares[keep] * np.float32(GAIN)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[keep]
+    cuts = np.searchsorted(owner, np.arange(n + 1))
     full = np.flatnonzero(np.diff(cuts))
     random = np.random.default_rng(seed)
     table = random.uniform(-1 / DIM, 1 / DIM, (DIM, len(used))).astype(np.float32)
@@ -102,7 +102,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     params = [table, linear, bias]
     pace = [np.zeros_like(p) for p in params]
     for _ in range(EPOCHS):
-        mean = np.zeros((len(rows), DIM))
+        mean = np.zeros((n, DIM))
         for d in range(DIM):
             if len(full):
                 mean[full, d] = np.add.reduceat(table[d][index] * share, cuts[full])
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: F.Column | None = None,
     label or id are no training rows. No usable rows or one class only: a model that gives every text that class."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if train_rows is not None:
-        known = known.where(F.expr("true") & train_rows)
+        known = known.where(train_rows)
     known = known.dropDuplicates(["id"])
     chosen = None
     for value in (0, 1):
@@ -137,16 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: F.Column | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found, shares = [t or "" for t in batch.column("text").to_pylist()], [], []
+            texts, found, shares, sizes = [t or "" for t in batch.column("text").to_pylist()], [], [], []
             for text in texts:
                 buckets, _, often = features([text])
+                sizes.append(len(buckets))
                 found.append(buckets.tobytes())
                 shares.append((often / (often.sum() + PADDING)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(found, pa.binary()), pa.array(shares, pa.binary())], ["id", "label", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(shares, pa.binary())], ["id", "label", "sizes", "buckets", "shares"])
 
-    got = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, buckets binary, shares binary").toPandas().sort_values("id", kind="stable")
-    sets = [(np.frombuffer(b, dtype=np.int32), np.frombuffer(s, dtype=np.float32)) for b, s in zip(got["buckets"], got["shares"], strict=True)]
-    return train(sets, got["label"].to_numpy(dtype=np.int64))
+    got = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, sizes long, buckets binary, shares binary").toPandas().sort_values("id", kind="stable")
+    buckets = np.frombuffer(b"".join(got.pop("buckets")), dtype=np.int32)
+    shares = np.frombuffer(b"".join(got.pop("shares")), dtype=np.float32)
+    return train(buckets, shares, got["sizes"].to_numpy(), got["label"].to_numpy(dtype=np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
