@@ -47,7 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = write_archive(_table(spark, sf_dir, "pages"))
-    return archive.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "place")
+    return archive.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,42 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLE_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+')"
+_TEST_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_FOUR_BITS = "".join(f"{i:04b}" for i in range(16))
+_FIVE_BITS = "".join(f"{i:05b}," for i in range(32))
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM (SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, sha256(coalesce(text, '')) AS text_sha256
               FROM documents WINDOW same AS (PARTITION BY coalesce(text, '')))
     """,
+    "op3_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLE_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT one, two FROM c JOIN n x ON x.doc_id = one JOIN n y ON y.doc_id = two WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, link.two FROM reach JOIN link ON link.one = reach.seen)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)
+    """,
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+        b AS (SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: substr('{_FOUR_BITS}', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((strpos('{_FIVE_BITS}', substr(bits, 5 * i + 1, 5) || ',') - 1) // 6 + 1)::INT, 1)), '') AS payload_digest FROM b
+    """,
+    "op10_decontamination": f"""
+        WITH t AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {_TEST_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        tw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM t)),
+        d AS (SELECT doc_id, {_TEST_WORDS} AS w FROM documents),
+        dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM tw))),
+        m AS (SELECT DISTINCT doc_id, item_id, k, i FROM dw JOIN tw USING (k, s)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY 1),
+        n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
 }
