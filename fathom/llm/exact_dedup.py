@@ -95,6 +95,7 @@ class ExactDedup:
         # The row that stays, with its text; then every row of its digest beside it.
         tops = texts.join(hits.select("digest", "keep_id", "rows"), "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("text", "keep_text")
         tops = tops.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("rows").alias("rows"), F.max("keep_text").alias("keep_text"))
+        tops = self.work.table(tops, "tops")  # a table of its own, so that the join below can split a hot digest
         beside = texts.join(tops, "digest").select("id", "keep_id", F.col("rows").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", (F.col("text") == F.col("keep_text")).alias("same"))
         beside = self.work.table(beside, "hits")
         found = single.unionByName(beside.where("same").drop("same"))
