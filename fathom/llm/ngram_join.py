@@ -255,7 +255,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = work.table(base.mapInArrow(_describe(width, percent), "id long, n long, h1 long, h2 long, sketch binary"), "sets")
     real = sets.where("id is not null and n > 0")
-    smallest = real.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    # A table of its own, so that the join can split a class with very many members.
+    smallest = work.table(real.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "smallest")
     classes = work.table(real.join(smallest, ["n", "h1", "h2"]).select("id", "rep", "n", "sketch"), "classes")
     reps = classes.where("id = rep").select("rep", "n", "sketch").dropDuplicates(["rep"])
 
