@@ -23,7 +23,7 @@ from . import chars as ch
 from .hashing import chunks_of
 
 BUCKETS = 1 << 14
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Labelled rows that a model is fitted on, at most about as many (a hash of the id chooses them).
 TRAIN_ROWS = 20_000
 SWITCH, UNDETERMINED = 8.0, "und"

@@ -70,7 +70,7 @@ def _sign(width: int, percent: int):
                     codes, of = scheme.signatures(features)
                     held.append((ids[at], codes, of))
                     total += len(codes)
-                if total > 200_000:
+                if total > 100_000:
                     yield _chunk(held)
                     held, total = [], 0
             if held:
