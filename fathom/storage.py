@@ -53,7 +53,7 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, arrow_rows: int = 2000) -> DataFrame:
+    def table(self, df: DataFrame, name: str, arrow_rows: int = 1000) -> DataFrame:
         """Write df once and read it back: cuts the lineage, and survives the loss of any executor. While it is
         written, batches for Python hold arrow_rows rows, which bounds a worker's memory when texts are long."""
         path, before = self.path(f"{name}-{uuid.uuid4().hex[:6]}"), self.spark.conf.get(_ARROW_ROWS)
