@@ -38,8 +38,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
-    found = similarity_components(docs)
+    """Of each component of near duplicates (5-word Jaccard of 0.8 or more) the document with the smallest doc_id stays."""
+    found = similarity_components(docs, width=5, percent=80)
     return without(docs, "doc_id", _dropped(spark, found.where("component_id <> doc_id")), "doc_id")
 
 

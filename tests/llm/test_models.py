@@ -15,7 +15,7 @@ from fathom.llm.boosting import fit as fit_trees
 from fathom.llm.html_tree import parse
 from fathom.llm.queries import QUERIES
 from fathom.llm.warc import LoserTree, url_key, write_archive
-from tests.llm.test_documents import LONG, ROWS, SCHEMA, components
+from tests.llm.test_documents import LONG, ROWS, SCHEMA, components, shingles
 
 SF, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -172,3 +172,24 @@ def test_pipeline(spark):
     dirty = {r["doc_id"] for r in QUERIES["op10_decontamination"](spark, SF).where("contaminated").collect()}
     assert seen["benchmark decontamination"] == seen["n-gram Jaccard join"] - dirty
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == seen["benchmark decontamination"]
+
+
+def test_near_stage_links_five_words_at_four_fifths(spark):
+    r = random.Random(8)
+    rows = [(0, " ".join(f"a{i}" for i in range(50))), (1, " ".join("other" if i == 25 else f"a{i}" for i in range(50)))]
+    for g in range(12):
+        base = [f"{g}w{i}" for i in range(r.choice((4, 12, 48, 50, 52, 120)))]
+        for _ in range(r.randint(1, 6)):
+            words = list(base)
+            for _ in range(r.randint(0, 1 + len(words) // 40)):
+                words[r.randrange(len(words))] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets, least = [shingles(t, 5) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((least[i], least[j]))
+                least = [x if z == y else z for z in least]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept == {i for i, x in enumerate(least) if i == x} and 1 not in kept
+    assert kept != {i for i, _, c in components(rows) if i == c}
