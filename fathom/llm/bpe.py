@@ -2,7 +2,8 @@
 
 A byte-level BPE tokenizer splits a text into pieces (words, numbers, punctuation, white space) and encodes each piece
 on its own. The split is done here for a whole chunk of texts at once, in numpy; each distinct piece is encoded by the
-library once and kept. Texts with characters whose class changed between Unicode versions go to the library whole.
+library once and kept. Texts with characters whose class changed between Unicode versions, and texts that contain an
+added token (such as <|endoftext|>), go to the library whole.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ def _class_of(code: int) -> int:
 
 
 class WordCacheEncoder:
-    """Encodes texts with a tokenizer file; `special` strings in a text are ordinary text."""
+    """Encodes texts with a tokenizer file as its library does; added tokens in a text are their own ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # A piece that contains one of these is in the cache too, but only texts that go to the library whole have it.
+        self._added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._classes = np.full(0x10000, 255, dtype=np.uint8)
         self._reset()
 
@@ -150,7 +152,7 @@ class WordCacheEncoder:
         flat = self._ids[np.repeat(self._begin[entry] - total[:-1], counts) + np.arange(total[-1])]
         first, last = total[np.searchsorted(starts, begins)], total[np.searchsorted(starts, ends)]
         for i, text in enumerate(texts):
-            if unsure[i]:
+            if unsure[i] or any(t in text for t in self._added):
                 yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             else:
                 yield flat[first[i] : last[i]]

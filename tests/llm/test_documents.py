@@ -9,6 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fathom.llm.bpe import WordCacheEncoder
 from fathom.llm.decontamination import WindowIndex, decontaminate, remove_spans, words_of
@@ -207,6 +208,19 @@ def test_cached_encoding_is_the_library_s(library):
     assert [ids.tolist() for _, ids in library.encode(texts)] == [e.ids for e in library.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer(spark, library):
+    fresh = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "it's<|endoftext|><|endoftext|>\n x", "<|endoftext|", "endoftext|> <|", "été <|endoftext|>²", "plain <| text"]
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for _, ids in library.encode(texts * 2)] == want * 2 and want[0] == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = sorted(write_tokens(docs, tokenizer_path(), END_ID).read().collect(), key=lambda r: r["doc_id"])
+    data = [np.array([*ids, END_ID], dtype="<u4") for ids in want]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in rows] == [(len(d), zlib.crc32(d.tobytes())) for d in data]
+    packed = pack_documents(docs, tokenizer_path(), END_ID).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packed} == {i: (len(d), zlib.crc32(d.tobytes())) for i, d in enumerate(data)}
+
+
 def test_packing(spark, edge, nothing, library):
     out = [r.asDict() for r in pack_documents(edge, tokenizer_path(), END_ID).collect()]
     want = Counter((i, len(_ids(library, t))) for i, t in ROWS)
