@@ -25,10 +25,11 @@ def _dropped(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be determined: those without a letter."""
+    """Drops documents whose language cannot be determined: those without a letter. Where no document is labelled there
+    is no language to learn, and still only those go."""
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model)
-    return without(docs, "doc_id", _dropped(spark, found.where(F.col("lang_pred") == language_id.UNDETERMINED)), "doc_id")
+    found = language_id.identify(docs, model).where(F.col("lang_pred") == language_id.UNDETERMINED) if model.languages else language_id.without_letters(docs)
+    return without(docs, "doc_id", _dropped(spark, found), "doc_id")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,6 +177,21 @@ def fit(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id",
     return LanguageModel(languages, table[:, :BUCKETS], table[:, BUCKETS:])
 
 
+def without_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids of null texts and texts without a letter; needs no model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            blank = np.ones(len(texts), dtype=bool)
+            for begin, end in chunks_of([len(t) for t in texts], CHUNK_CHARS):
+                blank[begin:end] = np.diff(words_in(texts[begin:end]).firsts) == 0
+            yield pa.RecordBatch.from_arrays([batch.column("id")], [id_col]).filter(pa.array(blank))
+
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(run, f"`{id_col}` {base.schema['id'].dataType.simpleString()}")
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, n_spans) for every row. Null texts and texts without a letter: und, 0, 0. score is the
     share of the letters that lie in spans of the predicted language. Ties: the first language in sorted order."""

@@ -193,3 +193,12 @@ def test_near_stage_links_five_words_at_four_fifths(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     assert kept == {i for i, x in enumerate(least) if i == x} and 1 not in kept
     assert kept != {i for i, _, c in components(rows) if i == c}
+
+
+def test_language_stage_keeps_documents_where_none_is_labelled(spark, edge):
+    docs = edge.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_stage(spark, docs, SF)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, t in ROWS if i is None or any(c.isalpha() for c in t or "")), key=str)
+    assert kept.columns == docs.columns and corpus_pipeline.language_stage(spark, docs.limit(0), SF).count() == 0
+    some = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en"))
+    assert sorted(corpus_pipeline.language_stage(spark, some, SF).select("doc_id").collect(), key=str) == sorted(kept.select("doc_id").collect(), key=str)
