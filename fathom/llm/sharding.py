@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.storage import Workspace
@@ -56,12 +56,55 @@ def grow(sizes: list[tuple[int, int, int]], placed: dict[int, int], new_shard: i
     return placed
 
 
-def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, n_slots: int = N_SLOTS, overhead: int = 8) -> tuple[DataFrame, DataFrame]:
+def write_map(rows: list[tuple[int, int, int, int, int]], spark: SparkSession, root: str) -> DataFrame:
+    """Keep one version of a map below root, in a folder of its own; a version that is there is never replaced."""
+    path = f"{root}/version={rows[0][0] if rows else 1}"
+    spark.createDataFrame([r[1:] for r in rows], "vslot int, shard int, bytes long, rows long").coalesce(1).write.parquet(path)
+    return read_map(spark, root, rows[0][0] if rows else 1)
+
+
+def read_map(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A version of the map that is kept below root; without one the latest."""
+    found = spark.read.schema(SLOT_MAP).parquet(root)
+    version = found.agg(F.max("version")).first()[0] if version is None else version
+    return found.where(F.col("version") == version).select("version", "vslot", "shard", "bytes", "rows")
+
+
+def grow_map(spark: SparkSession, root: str) -> DataFrame:
+    """Read the latest map below root, add a shard to it, and write it as the next version."""
+    stored = read_map(spark, root).collect()
+    if not stored:
+        raise ValueError(f"no slots in the map below {root}")
+    placed = grow([(r["vslot"], r["bytes"], r["rows"]) for r in stored], {r["vslot"]: r["shard"] for r in stored}, max(r["shard"] for r in stored) + 1)
+    return write_map([(r["version"] + 1, r["vslot"], placed[r["vslot"]], r["bytes"], r["rows"]) for r in stored], spark, root)
+
+
+def _by_map(sizes: list[tuple[int, int, int]], slot_map: DataFrame) -> dict[int, int]:
+    """vslot to shard as a map says; slots that it does not know go, the largest first, to the shard with the fewest bytes."""
+    known = {r["vslot"]: r["shard"] for r in slot_map.select("vslot", "shard").collect()}
+    if not known:
+        raise ValueError("the given map has no slots")
+    loads = dict.fromkeys(known.values(), 0)
+    for v, size, _ in sizes:
+        if v in known:
+            loads[known[v]] += size
+    for v, size, _ in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        if v not in known:
+            known[v] = min(loads, key=lambda s: (loads[s], s))
+            loads[known[v]] += size
+    return known
+
+
+def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, n_slots: int = N_SLOTS, overhead: int = 8, slot_map: DataFrame | None = None, map_root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(assignment, slot map). Assignment: id, size, text_crc32, shard, vslot and slot, the record's place in its shard
     (gapless from 0). Size is the text's UTF-8 bytes (null: none) plus overhead; shards are near equal in bytes.
 
     Records are placed one by one, so neither a hot group of equal texts nor a hot source loads a shard. Rows that
     repeat an id share its slot. Places in a shard are numbered by slot, then by id. An empty table gives no rows.
+
+    With slot_map, one version of a map of as many slots (see read_map, grow_map), records go where it says and n_shards
+    is not used; the map that is returned keeps its version. Without, a new map is made; with map_root it is kept there
+    as version 1, to be grown later, else it goes when the driver ends.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "sharding")
@@ -69,10 +112,15 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + overhead).alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"), virtual_slot(F.col(id_col), F.col(text_col), n_slots).alias("vslot"))
     rows = work.table(rows, "rows")
     sizes = slot_sizes(rows)
-    placed = balance(sizes, n_shards)
-    slot_map = work.table(spark.createDataFrame([(1, v, placed[v], b, n) for v, b, n in sizes], SLOT_MAP).coalesce(1), "slot-map-1")
+    placed = balance(sizes, n_shards) if slot_map is None else _by_map(sizes, slot_map)
+    version = 1 if slot_map is None else slot_map.agg(F.max("version")).first()[0]
+    entries = [(version, v, placed[v], b, n) for v, b, n in sizes]
+    if slot_map is None and map_root is not None:
+        slot_map = write_map(entries, spark, map_root)
+    else:
+        slot_map = work.table(spark.createDataFrame(entries, SLOT_MAP).coalesce(1), f"slot-map-{version}")
     # Rows before a slot in its shard: the map alone decides, so no shard has to be gathered in one task.
-    before, taken = [], dict.fromkeys(range(n_shards), 0)
+    before, taken = [], dict.fromkeys(placed.values(), 0)
     for v, _, n in sizes:
         before.append((v, placed[v], taken[placed[v]]))
         taken[placed[v]] += n

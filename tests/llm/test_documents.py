@@ -19,7 +19,7 @@ from fathom.llm.ngram_join import similarity_components
 from fathom.llm.packing import pack_documents, plan_bins
 from fathom.llm.partenum import PartEnum
 from fathom.llm.queries import END_ID, ORACLES, QUERIES, tokenizer_path
-from fathom.llm.sharding import balance, grow, shard_by_bytes
+from fathom.llm.sharding import balance, grow, grow_map, read_map, shard_by_bytes
 from fathom.llm.shingles import shingle_sets
 from fathom.llm.token_store import write_tokens
 from tests.oracles import same_rows
@@ -191,6 +191,27 @@ def test_growing_moves_slots_only_into_the_new_shard():
     assert len(load) == 9 and max(load.values()) < 1.05 * min(load.values())
 
 
+def test_records_are_placed_by_a_grown_map(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x" * (i * 37 % 900)) for i in range(4000)], "doc_id long, text string")
+    root = f"file://{tmp_path}/map"
+    before, first = shard_by_bytes(rows, n_shards=7, map_root=root)
+    grown = grow_map(spark, root)
+    assert {r["version"] for r in first.collect()} == {1} and {r["version"] for r in read_map(spark, root).collect()} == {2}
+    assert sorted(map(tuple, read_map(spark, root, 1).collect())) == sorted(map(tuple, first.collect()))
+    after, used = shard_by_bytes(rows, slot_map=grown)
+    where = {r["vslot"]: r["shard"] for r in grown.collect()}
+    old, new = ({r["id"]: r for r in df.collect()} for df in (before, after))
+    load, places = Counter(), defaultdict(list)
+    for i, r in new.items():
+        assert r["shard"] == where[r["vslot"]] and r["shard"] in (old[i]["shard"], 7)
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert len(load) == 8 and max(load.values()) < 1.1 * min(load.values()) and {r["version"] for r in used.collect()} == {2}
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    more = rows.unionAll(spark.createDataFrame([(10_000 + i, "new") for i in range(3000)], rows.schema))
+    assert all(r["shard"] == where.get(r["vslot"], r["shard"]) for r in shard_by_bytes(more, slot_map=grown)[0].collect())
+
+
 # --- tokens
 @pytest.fixture(scope="module")
 def library():
