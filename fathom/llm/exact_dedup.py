@@ -11,6 +11,7 @@ count as copies. Everything runs in DataFrame operators; no Python code touches
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
@@ -51,7 +52,7 @@ class ExactDedup:
     """Deduplicates by equal text, across as many arrivals as wanted.
 
     ingest() may be called again and again with further documents; resolve() then tells about any documents that have
-    been ingested. Null texts count as empty and all empty texts are copies of each other. Of equal texts the row
+    been ingested, in one call or in several; the texts of rows that stay are read again from the arrivals they came in. Null texts count as empty and all empty texts are copies of each other. Of equal texts the row
     with the largest id stays; a null id is smaller than any other. Rows that repeat an id with the same text stay or
     go together. Columns other than id and text are ignored.
     """
@@ -59,6 +60,7 @@ class ExactDedup:
     def __init__(self, spark: SparkSession, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000):
         self.spark, self.id_col, self.text_col, self.digest = spark, id_col, text_col, digest
         self.work, self.files_per_batch = Workspace(spark, "exact-dedup"), files_per_batch
+        self._arrived: list[DataFrame] = []
 
     def _texts(self, docs: DataFrame) -> DataFrame:
         text, place = F.coalesce(F.col(self.text_col), F.lit("")), F.input_file_name()
@@ -70,6 +72,7 @@ class ExactDedup:
 
     def ingest(self, docs: DataFrame) -> None:
         """Add documents to the state."""
+        self._arrived.append(docs)
         inbox = self.work.path("inbox")
         arrivals = self._texts(docs).drop("text")
         arrivals.write.mode("append").parquet(inbox)
@@ -86,26 +89,39 @@ class ExactDedup:
         return stored.select(F.col("key.digest").alias("digest"), top["id"].alias("keep_id"), top["locator"].alias("locator"), count.alias("rows"))
 
     def resolve(self, docs: DataFrame) -> DataFrame:
-        """(id, keep_id, group_size, kept, digest) for all documents that have been ingested."""
+        """(id, keep_id, group_size, kept, digest) for each row of docs, all of which have been ingested; the groups are
+        those of all arrivals."""
+        whole = len(self._arrived) == 1 and self._arrived[0] is docs
         with _store(self.spark):
             state = self.work.table(self.state(), "kept")
         single = state.where("rows = 1").select(F.col("keep_id").alias("id"), "keep_id", F.col("rows").alias("group_size"), F.lit(True).alias("kept"), "digest")
         hits = state.where("rows > 1")
-        texts = may_match(self._texts(docs), "digest", hits, "digest")
+        asked = self._texts(docs)
+        if not whole:
+            digests = self.work.table(asked.select("digest").distinct(), "asked")
+            single = asked.select("id", "digest").join(single.drop("id"), "digest").select(*single.columns)
+            hits = self.work.table(hits.join(digests, "digest", "left_semi"), "asked-hits")
+        asked = may_match(asked, "digest", hits, "digest")
+        texts = asked if whole else may_match(functools.reduce(DataFrame.unionByName, map(self._texts, self._arrived)), "digest", hits, "digest")
         # The row that stays, with its text; then every row of its digest beside it.
         tops = texts.join(hits.select("digest", "keep_id", "rows"), "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("text", "keep_text")
         tops = tops.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("rows").alias("rows"), F.max("keep_text").alias("keep_text"))
         tops = self.work.table(tops, "tops")  # a table of its own, so that the join below can split a hot digest
-        beside = texts.join(tops, "digest").select("id", "keep_id", F.col("rows").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", (F.col("text") == F.col("keep_text")).alias("same"))
-        beside = self.work.table(beside, "hits")
+
+        def compared(rows: DataFrame) -> DataFrame:
+            beside = rows.join(tops, "digest").select("id", "keep_id", F.col("rows").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", (F.col("text") == F.col("keep_text")).alias("same"))
+            return self.work.table(beside, "hits")
+
+        beside = compared(asked)
         found = single.unionByName(beside.where("same").drop("same"))
-        clash = beside.where("not same").select("digest").distinct()
+        clash = (beside if whole else compared(texts)).where("not same").select("digest").distinct()
         if clash.isEmpty():
             return found
         # Different texts under one digest: group those by their full bytes.
         clash = self.work.table(clash, "clash")
         rows = self.work.table(texts.join(clash, "digest", "left_semi").select("id", "digest", "text"), "clash-texts")
         groups = rows.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        rows = rows if whole else asked.join(clash, "digest", "left_semi").select("id", "digest", "text")
         parted = rows.join(groups, ["digest", "text"]).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
         return found.join(clash, "digest", "left_anti").select(*parted.columns).unionByName(parted)
 

@@ -69,6 +69,17 @@ def test_exact_dedup_remembers_earlier_arrivals(spark, edge, nothing):
     assert exact_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_resolves_the_second_arrival_alone(spark, weak):
+    rows = [(9, "a"), (2, "b"), (7, "c"), (1, "a"), (3, "b"), (4, "d"), (None, None), (5, "")]
+    first, second = (spark.createDataFrame(part, "doc_id long, text string") for part in (rows[:3], rows[3:]))
+    run = ExactDedup(spark, **({"digest": lambda c: F.lit("same").cast("binary")} if weak else {}))
+    run.ingest(first)
+    run.ingest(second)
+    ids = {i for i, _ in rows[3:]}
+    assert sorted((tuple(r)[:4] for r in run.resolve(second).collect()), key=str) == [g for g in _groups(rows) if g[0] in ids]
+
+
 def test_exact_dedup_runs_no_python(spark):
     plan = QUERIES["op1_exact_dedup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
