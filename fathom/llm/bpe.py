@@ -2,12 +2,15 @@
 
 A byte-level BPE tokenizer splits a text into pieces (words, numbers, punctuation, white space) and encodes each piece
 on its own. The split is done here for a whole chunk of texts at once, in numpy; each distinct piece is encoded by the
-library once and kept. Texts with characters whose class changed between Unicode versions, and texts that contain an
-added token (such as <|endoftext|>), go to the library whole.
+library once and kept. A kept piece is found by its hash and then compared character by character, so a text whose piece
+meets another's hash goes to the library whole. So do texts with characters whose class changed
+between Unicode versions, and texts that contain an added token (such as <|endoftext|>). Long texts are encoded part by
+part; they are cut before a blank between two other characters, where a piece begins in any case.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,13 +18,20 @@ import numpy as np
 
 from .hashing import chunks_of, slice_hashes
 
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 #: The characters that the split takes as white space.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The endings after an apostrophe that are pieces of their own.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 _OTHER, _SPACE, _LETTER, _NUMBER, _UNSURE = range(5)
-_CACHE_SLOTS, _CACHE_FULL = 1 << 21, 1_200_000
+#: Slots of the cache, and the pieces and characters that it holds at most before it starts anew.
+_CACHE_SLOTS, _CACHE_FULL, _CACHE_CHARS = 1 << 20, 600_000, 8 << 20
+#: Pieces longer than this are not kept.
+_LONGEST = 256
+
+
+#: A blank between two characters that are no white space.
+_CUT = re.compile(r"[^\s\x1c-\x1f\x85] (?![\s\x1c-\x1f\x85])(?=.)", re.S)
 
 
 def _class_of(code: int) -> int:
@@ -48,11 +58,12 @@ class WordCacheEncoder:
         self._entry = np.zeros(_CACHE_SLOTS, dtype=np.int32)
         self._begin, self._count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self._ids, self._entries, self._used = np.zeros(1 << 18, dtype=np.uint32), 0, 0
+        self._chars, self._place, self._size, self._held = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The cache entry of each key, or -1."""
         found = np.full(len(keys), -1, dtype=np.int64)
-        open_at, slot = np.arange(len(keys)), (keys >> np.uint64(43)).astype(np.int64)
+        open_at, slot = np.arange(len(keys)), (keys >> np.uint64(44)).astype(np.int64)
         while len(open_at):
             held = self._keys[slot]
             hit = held == keys[open_at]
@@ -61,21 +72,41 @@ class WordCacheEncoder:
             open_at, slot = open_at[going], (slot[going] + 1) % _CACHE_SLOTS
         return found
 
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        while size > len(array):
+            array = np.concatenate((array, np.zeros_like(array)))
+        return array
+
+    def _same(self, chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether each piece is the one that its cache entry was made from."""
+        sizes = stops - starts
+        same = self._size[entry] == sizes
+        at = np.flatnonzero(same)
+        if len(at):
+            n = sizes[at]
+            firsts = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(firsts, n)
+            same[at] = np.logical_and.reduceat(chars[np.repeat(starts[at], n) + step] == self._chars[np.repeat(self._place[entry[at]], n) + step], firsts)
+        return same
+
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces, at most a chunk's worth of them, and keep their ids."""
+        """Encode new pieces, at most a chunk's worth of them, and keep them and their ids."""
         encoded = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.uint32, count=int(counts.sum()))
+        sizes, chars = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)), np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         first, self._entries = self._entries, self._entries + len(keys)
-        while self._entries > len(self._begin):
-            self._begin, self._count = np.concatenate((self._begin, np.zeros_like(self._begin))), np.concatenate((self._count, np.zeros_like(self._count)))
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+        self._begin, self._count, self._place, self._size = (self._grown(x, self._entries) for x in (self._begin, self._count, self._place, self._size))
+        self._ids, self._chars = self._grown(self._ids, self._used + len(flat)), self._grown(self._chars, self._held + len(chars))
         self._ids[self._used : self._used + len(flat)] = flat
+        self._chars[self._held : self._held + len(chars)] = chars
         self._begin[first : self._entries] = self._used + np.cumsum(counts) - counts
-        self._count[first : self._entries] = counts
+        self._place[first : self._entries] = self._held + np.cumsum(sizes) - sizes
+        self._count[first : self._entries], self._size[first : self._entries] = counts, sizes
         self._used += len(flat)
-        todo, slot = np.arange(len(keys)), (keys >> np.uint64(43)).astype(np.int64)
+        self._held += len(chars)
+        todo, slot = np.arange(len(keys)), (keys >> np.uint64(44)).astype(np.int64)
         while len(todo):
             free = self._keys[slot] == 0
             self._keys[slot[free]] = keys[todo[free]]
@@ -123,37 +154,63 @@ class WordCacheEncoder:
     def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(position of the text, its ids as uint32) for every text, in order."""
         for begin, end in chunks_of([len(t) for t in texts], CHUNK_CHARS):
-            yield from ((begin + i, ids) for i, ids in enumerate(self._chunk(texts[begin:end])))
-
-    def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
+            if len(texts[begin]) > 2 * CHUNK_CHARS:
+                yield begin, self._long(texts[begin])
+            else:
+                yield from ((begin + i, ids) for i, ids in enumerate(self._chunk(texts[begin:end])))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of a text that is cut where a piece begins for certain."""
+        if any(t in text for t in self._added):
+            return self._whole(text)
+        out, begin = [], 0
+        while begin < len(text):
+            cut = _CUT.search(text, min(begin + CHUNK_CHARS, len(text)))
+            end = cut.start() + 1 if cut else len(text)
+            if (ids := next(self._chunk([text[begin:end]], None))) is None:
+                return self._whole(text)
+            out.append(ids)
+            begin = end
+        return np.concatenate(out)
+
+    def _chunk(self, texts: list[str], otherwise=True) -> Iterator[np.ndarray | None]:
+        """The ids of each text. One that has to go to the library whole does so, or gives None with otherwise=None."""
         joined = "".join(texts)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
         begins = np.concatenate(([0], ends[:-1]))
         kinds = self._classify(chars)
-        unsure = np.concatenate(([0], np.cumsum(kinds == _UNSURE)))
-        unsure = unsure[ends] > unsure[begins]
         starts = self._pieces(chars, kinds, begins[begins < len(chars)])
         stops = np.concatenate((starts[1:], [len(chars)])) if len(starts) else starts
-        with np.errstate(over="ignore"):
-            keys = slice_hashes(chars, starts, stops)
+        first, last = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+        keys = slice_hashes(chars, starts, stops) if len(starts) else np.zeros(0, dtype=np.uint64)
         keys[keys == 0] = 1
-        if self._entries > _CACHE_FULL:
+        if self._entries > _CACHE_FULL or self._held > _CACHE_CHARS:
             self._reset()
+        short = stops - starts <= _LONGEST
         entry = self._find(keys)
-        missing = np.flatnonzero(entry < 0)
+        missing = np.flatnonzero((entry < 0) & short)
         if len(missing):
             new, at = np.unique(keys[missing], return_index=True)
             at = missing[at]
             self._add(new, [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
             entry[missing] = self._find(keys[missing])
-        counts = self._count[entry]
+        sure = np.zeros(len(starts), dtype=bool)
+        known = np.flatnonzero(entry >= 0)
+        sure[known] = self._same(chars, starts[known], stops[known], entry[known])
+        doubtful = np.concatenate(([0], np.cumsum(~sure)))
+        unsure = np.concatenate(([0], np.cumsum(kinds == _UNSURE)))
+        doubtful = (doubtful[last] > doubtful[first]) | (unsure[ends] > unsure[begins])
+        counts = np.where(sure, self._count[entry], 0)
         total = np.concatenate(([0], np.cumsum(counts)))
         flat = self._ids[np.repeat(self._begin[entry] - total[:-1], counts) + np.arange(total[-1])]
-        first, last = total[np.searchsorted(starts, begins)], total[np.searchsorted(starts, ends)]
+        first, last = total[first], total[last]
         for i, text in enumerate(texts):
-            if unsure[i] or any(t in text for t in self._added):
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            if doubtful[i] or otherwise and any(t in text for t in self._added):
+                yield self._whole(text) if otherwise else None
             else:
                 yield flat[first[i] : last[i]]
 

@@ -14,9 +14,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import kept_rows, slices
+
+#: Bytes of item texts that one index takes; what is sent to the tasks is a small multiple of it.
+MOST_ITEM_BYTES = 64 << 20
+
 #: A-Z to a-z; every ASCII character but letters and digits to a blank. Others are parts of words.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -70,19 +76,16 @@ class SuffixAutomaton:
 class WindowIndex:
     """Finds the windows of items in documents: `width` consecutive words of an item, or a shorter item as a whole.
 
-    Items without words have no window. Its size is a small multiple of the number of item words; it is sent to every
-    task, so the items must be a test set and not a corpus (max_words checks that).
+    Items without words have no window. Its size is a small multiple of the number of item words.
     """
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = 13, max_words: int = 5_000_000):
+    def __init__(self, items: list[tuple[object, str | None]], width: int = 13):
         self.width, self.vocabulary, by_words = width, {}, {}
         for item, text in items:
             words = words_of(text)
             if words:
                 key = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
                 by_words.setdefault(key, set()).add(str(item))
-        if sum(map(len, by_words)) > max_words:
-            raise ValueError(f"the items have more than {max_words} words")
         self.items = [sorted(names) for names in by_words.values()]
         self.automaton = automaton = SuffixAutomaton()
         for sequence in by_words:
@@ -159,19 +162,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     comma-joined (of the empty string if none). Null and blank texts have no words. Items with equal words all count;
     rows that repeat an item id count once. An empty benchmark hits nothing. Null item ids count as the text "None".
     """
-    items = [(r[0], r[1]) for r in benchmark.select(item_col, item_text_col).collect()]
-    index = docs.sparkSession.sparkContext.broadcast(WindowIndex(items, width))
+    index = _broadcast(docs, benchmark, item_col, item_text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_by = index.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 hit, numbers = found_by.scan(words)
                 names = sorted({name for i in numbers for name in found_by.items[i]})
                 n_hit = int(hit.sum())
-                dirty = n_hit > 0 and 100 * n_hit >= percent * len(words)
+                dirty = _is_contaminated(n_hit, len(words), percent)
                 row = [len(words), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), dirty]
                 rows.append([*row, remove_spans(text, hit) if dirty else text] if cleaned else row)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())[: 5 + cleaned]
@@ -181,3 +183,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     return base.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", cleaned string" * cleaned)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, percent: int = 5) -> DataFrame:
+    """The rows of docs, whole and unchanged, that are not contaminated (see decontaminate)."""
+    index = _broadcast(docs, benchmark, item_col, item_text_col, width)
+
+    def wanted():
+        found_by = index.value
+
+        def ask(texts: list[str | None]) -> list[bool]:
+            out = []
+            for text in texts:
+                words = words_of(text)
+                out.append(not _is_contaminated(int(found_by.scan(words)[0].sum()), len(words), percent))
+            return out
+
+        return ask
+
+    return kept_rows(docs, text_col, wanted)
+
+
+def _is_contaminated(n_hit: int, n_words: int, percent: int) -> bool:
+    return n_hit > 0 and 100 * n_hit >= percent * n_words
+
+
+def _broadcast(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, width: int) -> Broadcast:
+    """The items' index for all tasks. What is collected is checked first: a benchmark is a test set, not a corpus."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_ITEM_BYTES:
+        raise ValueError(f"the items have {size} bytes, more than {MOST_ITEM_BYTES}; split the benchmark and unite the results")
+    return docs.sparkSession.sparkContext.broadcast(WindowIndex([(r["item"], r["text"]) for r in items.collect()], width))

@@ -28,6 +28,7 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store's memory is given back as soon as its batch is in
 }
 
 
@@ -52,8 +53,8 @@ class ExactDedup:
     """Deduplicates by equal text, across as many arrivals as wanted.
 
     ingest() may be called again and again with further documents; resolve() then tells about any documents that have
-    been ingested, in one call or in several; the texts of rows that stay are read again from the arrivals they came in. Null texts count as empty and all empty texts are copies of each other. Of equal texts the row
-    with the largest id stays; a null id is smaller than any other. Rows that repeat an id with the same text stay or
+    been ingested, in one call or in several; the texts of rows that stay are read again from the arrivals they came in.
+    Null texts count as empty and all empty texts are copies of each other. Of equal texts the row with the largest id stays; a null id is smaller than any other. Rows that repeat an id with the same text stay or
     go together. Columns other than id and text are ignored.
     """
 
@@ -130,4 +131,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One table's (id, keep_id, group_size, kept, digest), see ExactDedup. An empty table gives an empty result."""
     run = ExactDedup(docs.sparkSession, id_col, text_col, digest)
     run.ingest(docs)
-    return run.resolve(docs)
+    return run.work.finish(run.resolve(docs))

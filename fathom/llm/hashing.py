@@ -1,28 +1,17 @@
 """Vectorised hashing of words and word sequences (numpy, 64-bit, wrapping).
 
-A chunk of texts is one flat array of characters. The hash of any slice comes from one running sum over
-the chunk, so the cost per word is a few array operations and does not depend on Python-level loops.
-Every hash depends on the characters alone, never on the chunk, the task or the machine.
+A chunk of texts is one flat array of characters. The hash of a slice is the sum of a number for each of its characters
+that depends, mixed and not by a polynomial, on the character and its place in the slice: equal only for equal slices
+but for chance, also where a text repeats itself in patterns. Sums may be taken in parts, so a slice of any length needs
+no more memory than a block. Every hash depends on the characters alone, never on the chunk, the task or the machine.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i (mod 2**64) for 0 <= i < n."""
-    if len(_TABLES.get("up", ())) < n:
-        size = -(-n >> 18) + 1 << 18
-        with np.errstate(over="ignore"):
-            for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
-                table = np.full(size, base, dtype=np.uint64)
-                table[0] = 1
-                _TABLES[name] = np.multiply.accumulate(table)
-    return _TABLES["up"][:n], _TABLES["down"][:n]
+#: Characters that are mixed at a time.
+BLOCK = 1 << 17
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,12 +25,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _placed(chars: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number for each character (under 2**21) at its place in a slice."""
+    return mix64((chars.astype(np.uint64) | places.astype(np.uint64) << np.uint64(21)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+
+
 def slice_hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of chars[starts[i]:ends[i]] for every i."""
-    up, down = powers(len(chars) + 1)
-    sums = np.zeros(len(chars) + 1, dtype=np.uint64)
-    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """The hash of chars[starts[i]:ends[i]] for every i; no slice is empty."""
+    sizes = ends - starts
+    sums = np.empty(len(sizes), dtype=np.uint64)
+    done = np.concatenate(([0], np.cumsum(sizes)))
+    begin = 0
+    with np.errstate(over="ignore"):
+        while begin < len(sizes):
+            end = max(begin + 1, int(np.searchsorted(done, done[begin] + BLOCK, side="right")) - 1)
+            if sizes[begin] > BLOCK:
+                end, total = begin + 1, np.uint64(0)
+                for at in range(0, int(sizes[begin]), BLOCK):
+                    part = chars[starts[begin] + at : min(starts[begin] + at + BLOCK, ends[begin])]
+                    total += np.add.reduce(_placed(part, np.arange(at, at + len(part))))
+                sums[begin] = total
+            else:
+                own, firsts = sizes[begin:end], done[begin:end] - done[begin]
+                places = np.arange(done[end] - done[begin]) - np.repeat(firsts, own)
+                sums[begin:end] = np.add.reduceat(_placed(chars[np.repeat(starts[begin:end], own) + places], places), firsts)
+            begin = end
+        return mix64(sums + sizes.astype(np.uint64))
 
 
 def chunks_of(sizes: list[int], limit: int) -> list[tuple[int, int]]:

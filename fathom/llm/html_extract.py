@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .boosting import BoostedTrees, fit
 from .html_tree import Node, parse
 
@@ -245,8 +246,8 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t for begin in range(0, batch.num_rows, 50) for t in main_texts(batch.column("_html").slice(begin, 50).to_pylist(), shared.value)]
+        for batch in slices(batches, "_html", rows=50):
+            texts = main_texts(batch.column("_html").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     base = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chars as ch
+from .batches import kept_rows, pieces, slices
 from .hashing import chunks_of
 
 BUCKETS = 1 << 14
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 17
 #: Labelled rows that a model is fitted on, at most about as many (a hash of the id chooses them).
 TRAIN_ROWS = 20_000
 SWITCH, UNDETERMINED = 8.0, "und"
@@ -123,13 +124,22 @@ class LanguageModel:
         cuts = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1).tolist(), len(label)] if len(label) else [0]
         return [(a, b, self.languages[label[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and sizes of the words of a chunk of texts, and each text's first word, plus the end. A text longer
+        than a chunk is read in pieces, cut at white space; its words are labelled together all the same."""
+        if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_CHARS:
+            parts = [(self.word_scores(w), w.ends - w.starts) for w in (words_in([p]) for p in pieces(texts[0], CHUNK_CHARS))]
+            sizes = np.concatenate([p[1] for p in parts])
+            return np.concatenate([p[0] for p in parts]), sizes, np.array([0, len(sizes)])
+        words = words_in(texts)
+        return self.word_scores(words), words.ends - words.starts, words.firsts
+
     def predict(self, texts: list[str]) -> Iterator[tuple[str, float, int]]:
         """(language, share of the letters in its spans, number of spans) of each text."""
         for begin, end in chunks_of([len(t) for t in texts], CHUNK_CHARS):
-            words = words_in(texts[begin:end])
-            label = self.labels(self.word_scores(words), words.firsts)
-            sizes, k = words.ends - words.starts, len(self.languages)
-            owner = np.repeat(np.arange(end - begin), np.diff(words.firsts))
+            scores, sizes, firsts = self._read(texts[begin:end])
+            label, k = self.labels(scores, firsts), len(self.languages)
+            owner = np.repeat(np.arange(end - begin), np.diff(firsts))
             weight = np.bincount(owner * k + label, weights=sizes, minlength=(end - begin) * k).reshape(-1, k)
             changes = np.bincount(owner[1:], weights=(label[1:] != label[:-1]) & (owner[1:] == owner[:-1]), minlength=end - begin)
             for i in range(end - begin):
@@ -144,10 +154,10 @@ class LanguageModel:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, key, n): trigrams by bucket (kind 0) and words by script (kind 1)."""
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches, "text"):
         by_lang: dict[str, list[str]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(text)
+            by_lang.setdefault(lang, []).extend(pieces(text, CHUNK_CHARS))
         for lang, texts in by_lang.items():
             own = counts.setdefault(lang, np.zeros(BUCKETS + len(ch.SCRIPTS), dtype=np.int64))
             for begin, end in chunks_of([len(t) for t in texts], CHUNK_CHARS):
@@ -177,19 +187,18 @@ def fit(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id",
     return LanguageModel(languages, table[:, :BUCKETS], table[:, BUCKETS:])
 
 
-def without_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids of null texts and texts without a letter; needs no model."""
+def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole and unchanged, whose language the model tells. Null texts and texts without a letter go.
+    A model without languages (nothing was labelled) cannot tell any, and then only those go, too."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            blank = np.ones(len(texts), dtype=bool)
-            for begin, end in chunks_of([len(t) for t in texts], CHUNK_CHARS):
-                blank[begin:end] = np.diff(words_in(texts[begin:end]).firsts) == 0
-            yield pa.RecordBatch.from_arrays([batch.column("id")], [id_col]).filter(pa.array(blank))
+    def wanted():
+        model = shared.value
+        if model.languages:
+            return lambda texts: [lang != UNDETERMINED for lang, _, _ in model.predict([t or "" for t in texts])]
+        return lambda texts: [any(len(words_in([p]).starts) for p in pieces(t or "", CHUNK_CHARS)) for t in texts]
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, f"`{id_col}` {base.schema['id'].dataType.simpleString()}")
+    return kept_rows(docs, text_col, wanted)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out = list(shared.value.predict(texts)) if shared.value.languages else [(UNDETERMINED, 0.0, 0)] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int32())], [id_col, "lang_pred", "score", "n_spans"])

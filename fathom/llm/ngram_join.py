@@ -1,14 +1,16 @@
 """Near-duplicate components: an exact Jaccard join on word shingles by PartEnum signatures.
 
 1. Texts become sets of hashed shingles. Equal sets form a class, represented by its smallest id.
-2. Every set emits its signatures. Sets that share one are candidates. A chunk that holds a signature several times
-   sends one delegate for it to the common bucket and joins the others under a key of its own, so that a signature
-   that a third of all texts share does not send all of them to one task.
-3. Each set is checked against its likeliest partners (the bucket's first member and its neighbour in the bucket,
-   those with the most common signatures). That is linear and joins most of what belongs together.
-4. What is left are buckets that still hold several components. There all pairs across components are compared in
-   tiles of bounded size by one-byte sketches, which can only rule out pairs that are surely too different. Components
-   with a pair that passes become one family (of a tile's pairs only those are passed on that connect it).
+2. Every set emits its signatures. Sets that share one are candidates. Signatures travel in packed rows, one for each
+   chunk of texts and bucket of signatures. Within a chunk the holders of a signature are settled at once, and one
+   delegate for them goes to the signature's bucket, so that a signature that a third of all texts share does not send
+   all of them to one task.
+3. Each set is checked against its likeliest partner (of the first holder of a signature and its neighbour there, the
+   one with the most common signatures). That is linear and joins most of what belongs together. An eighth of the
+   signatures of larger sets serve to find it; what is missed here is found below.
+4. What is left are signatures whose holders are still of several components. There all pairs across components are
+   compared in tiles of bounded size by one-byte sketches, which can only rule out pairs that are surely too different.
+   Components with a pair that passes become one family (of a tile's pairs only those are passed on that connect it).
 5. In a family all texts of different components are compared, in tiles again, by sketches and then by their shingles,
    until its links are known up to connection. Components of all verified links are the result.
 
@@ -21,31 +23,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators.components import connected_components
-from fathom.storage import Workspace
+from fathom.storage import Workspace, sweep
 
+from .batches import release, slices
 from .hashing import mix64
 from .members import may_match
-from .partenum import PartEnum
+from .partenum import ENUMERATED, PartEnum
 from .shingles import shingle_sets
 
-#: Rows of a bucket, and texts of a family, that are compared with each other at a time.
-TILE, TILE_OF_TEXTS = 2048, 512
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
+#: Rows of a signature, and texts of a family, that are compared with each other at a time.
+TILE, TILE_OF_TEXTS = 2048, 256
+#: Signatures that a task packs at a time, and about how many a bucket should have.
+CHUNK, BUCKET = 100_000, 100_000
+_PACKED = "bucket int, base long, width int, sigs binary, ids binary, prevs binary, firsts binary"
+_SHARED = "sig long, id long, prev long, first long"
+#: A signature is its bucket and 40 bits more, whatever the number of buckets: chance meetings in a bucket are as rare at
+#: any size, and are sorted out by what follows. The last bits tell whether its instance is odd, and is enumerated.
+SIG_BITS, MOST_BUCKETS = 40, 1 << 23
 
 
 def _describe(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = PartEnum(percent)
-        for batch in _slices(batches):
+        for batch in slices(batches, "text"):
             sizes, first, second, sketches = [], [], [], []
             for _, features in shingle_sets(batch.column("text").to_pylist(), width):
                 sizes.append(len(features))
@@ -57,43 +61,103 @@ def _describe(width: int, percent: int):
     return run
 
 
-def _sign(width: int, percent: int):
+def _sign(width: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = PartEnum(percent)
-        for batch in _slices(batches):
+        seen, held, total = set(), [], 0
+        for batch in slices(batches, "text"):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            seen, held, total = set(), [], 0
             for at, features in shingle_sets(batch.column("text").to_pylist(), width):
                 key = features.tobytes() if len(features) < 4 else (len(features), features[0], np.add.reduce(features), np.bitwise_xor.reduce(features))
                 if len(features) and key not in seen:
                     seen.add(key)
                     codes, of = scheme.signatures(features)
-                    held.append((ids[at], codes, of))
+                    small = np.array([scheme.differences(i) <= ENUMERATED for i in range(int(of.max()) + 1)])[of]
+                    low = (codes & np.uint64((1 << SIG_BITS) - 4)) | (small << 1 | of & 1).astype(np.uint64)
+                    held.append((ids[at], ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(SIG_BITS)) | low))
                     total += len(codes)
-                if total > 100_000:
-                    yield _chunk(held)
-                    held, total = [], 0
-            if held:
-                yield _chunk(held)
+                if total > CHUNK:
+                    yield _chunk(held, buckets)
+                    seen, held, total = set(), [], 0
+        if held:
+            yield _chunk(held, buckets)
 
     return run
 
 
-def _chunk(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (sig, tag, id). tag: the instance, and above it 0 for the common bucket or the chunk's own number."""
-    codes = np.concatenate([x[1] for x in held]).view(np.int64)
-    tags = np.concatenate([x[2] for x in held])
+def _chunk(held: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Packed rows: one for each bucket, with a holder of each signature, and one with all holders of the signatures
+    that several texts of the chunk have, each with the one before it and the first. Ids are kept as differences from
+    the smallest, in as many bytes as the largest needs; of signatures all but the bucket."""
+    codes = np.concatenate([x[1] for x in held])
     ids = np.repeat(np.array([x[0] for x in held], dtype=np.int64), [len(x[1]) for x in held])
     order = np.argsort(codes, kind="stable")
-    codes, tags, ids = codes[order], tags[order], ids[order]
-    first = np.concatenate(([True], codes[1:] != codes[:-1]))
-    again = np.concatenate((first[1:], [True]))
-    repeated = ~(first & again)
-    own = np.int32(int(mix64(np.array([held[0][0]], dtype=np.int64).view(np.uint64))[0]) % ((1 << 23) - 1) + 1) << np.int32(7)
-    delegate = repeated & first
-    codes, ids = np.concatenate((codes, codes[delegate])), np.concatenate((ids, ids[delegate]))
-    tags = np.concatenate((np.where(repeated, tags | own, tags), tags[delegate]))
-    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(tags.astype(np.int32)), pa.array(ids)], ["sig", "tag", "id"])
+    codes, ids = codes[order], ids[order]
+    opens = np.concatenate(([True], codes[1:] != codes[:-1]))
+    settled = ~opens | np.concatenate((~opens[1:], [False]))
+    own = (codes[settled], ids[settled], *_before(opens, ids, settled))
+    codes, ids = codes[opens], ids[opens]
+    of = (codes >> np.uint64(SIG_BITS)).astype(np.int32)
+    cuts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]))
+    n, base = len(cuts) - 1, int(ids.min())
+    gaps = (ids - base).view(np.uint64)  # wraps, and so holds for ids of any two signs
+    width = next(w for w in (2, 4, 8) if w == 8 or int(gaps.max()) < 1 << 8 * w)
+
+    def packed(values: np.ndarray, width: int, last: bytes) -> pa.Array:
+        data = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        return pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(np.append(cuts * width, len(data) + len(last)).astype(np.int32)), pa.py_buffer(data + last)])
+
+    own = [x.tobytes() for x in own]
+    spread = int(mix64(np.array([held[0][0]]))[0]) % buckets
+    columns = [pa.array(np.append(of[cuts[:-1]], np.int32(spread))), pa.array([base] * (n + 1), pa.int64()), pa.array([width] * (n + 1), pa.int32()), packed(codes, SIG_BITS // 8, own[0]), packed(gaps, width, own[1])]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([None] * n + [x], pa.binary()) for x in own[2:])], ["bucket", "base", "width", "sigs", "ids", "prevs", "firsts"])
+
+
+def _before(opens: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the wanted rows of sorted groups: the id before each in its group (its own, if it is the first), and the
+    group's first id."""
+    first = np.maximum.accumulate(np.where(opens, np.arange(len(ids)), 0))
+    prev = np.where(opens, ids, np.concatenate((ids[:1], ids[:-1])))
+    return prev[wanted], ids[first][wanted]
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows, sorted by bucket: the holders of signatures that more than one text has."""
+
+    def told(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["sig", "id", "prev", "first"])
+
+    def shared() -> Iterator[pa.RecordBatch]:
+        sigs = np.concatenate([_unpacked(p[3], SIG_BITS // 8) for p in parts]) | np.uint64(of << SIG_BITS)
+        ids = np.concatenate([_unpacked(p[4], p[2]).view(np.int64) + p[1] for p in parts])
+        order = np.lexsort((ids, sigs))
+        sigs, ids = sigs[order], ids[order]
+        opens = np.concatenate(([True], sigs[1:] != sigs[:-1]))
+        again = ~opens | np.concatenate((~opens[1:], [False]))
+        if again.any():
+            yield told(sigs[again], ids[again], *_before(opens, ids, again))
+
+    parts, of = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[5] is not None:
+                if row[3]:
+                    yield told(*(np.frombuffer(x, dtype=np.int64) for x in row[3:]))
+                continue
+            if row[0] != of and parts:
+                yield from shared()
+                parts = []
+            of = row[0]
+            parts.append(row)
+    if parts:
+        yield from shared()
+    release()
 
 
 def _plausible(percent: int):
@@ -166,21 +230,30 @@ def _may_link(rows: dict[str, np.ndarray], roots: np.ndarray, i: int, percent: i
 
 
 def _across(percent: int):
-    """Of sorted rows (sig, x, y, tile, inst, comp, n, sketch): pairs of components that close members connect. Per
+    """Of sorted rows (sig, x, y, tile, comp, n, sketch): pairs of components that close members connect. Per
     tile at most one pair less than it has components, enough to connect all that close pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, seen = PartEnum(percent), set()
-        for rows in _groups(batches, ("sig", "x", "y")):
-            inst, sizes, comps = int(rows["inst"][0]), rows["n"], rows["comp"]
-            sketches = np.vstack([np.frombuffer(s, dtype=np.uint8)[scheme.part_of_sketch(int(n), inst)] for s, n in zip(rows["sketch"], sizes, strict=True)])
-            roots, found = comps.copy(), set()
-            for i in range(len(comps) - 1):
-                others = _may_link(rows, roots, i, percent)
-                if len(others):
-                    differing = np.count_nonzero(sketches[others] != sketches[i], axis=1)
-                    close = others[differing <= (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)]
-                    found |= {(min(comps[i], comps[j]), max(comps[i], comps[j])) for j in _join_roots(roots, i, close)} if len(close) else set()
+
+        def instance(size: int, odd: int) -> int:
+            """The instance of the signature; none (-1) for another set of a repeated id, that did not sign it."""
+            return next((i for i in scheme.instances(size) if i & 1 == odd), -1)
+
+        for group in _groups(batches, ("sig", "x", "y")):
+            insts = np.array([instance(int(n), int(group["sig"][0]) & 1) for n in group["n"]])
+            found = set()
+            for inst in np.unique(insts[insts >= 0]):  # more than one only by a chance meeting of signatures
+                rows = {c: v[insts == inst] for c, v in group.items()}
+                sizes, comps = rows["n"], rows["comp"]
+                sketches = np.vstack([np.frombuffer(s, dtype=np.uint8)[scheme.part_of_sketch(int(n), inst)] for s, n in zip(rows["sketch"], sizes, strict=True)])
+                roots = comps.copy()
+                for i in range(len(comps) - 1):
+                    others = _may_link(rows, roots, i, percent)
+                    if len(others):
+                        differing = np.count_nonzero(sketches[others] != sketches[i], axis=1)
+                        close = others[differing <= (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)]
+                        found |= {(min(comps[i], comps[j]), max(comps[i], comps[j])) for j in _join_roots(roots, i, close)} if len(close) else set()
             found -= seen
             if len(seen) > 50_000:
                 seen.clear()
@@ -192,12 +265,13 @@ def _across(percent: int):
 
 
 def _within(width: int, percent: int):
-    """Of sorted rows (family, x, y, tile, id, comp, n, text): verified links that connect all components that links
+    """Of sorted rows (family, x, y, tile, id, comp, text): verified links that connect all components that links
     connect; at most one less than there are components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ("family", "x", "y")):
             sets = [f for _, f in shingle_sets(list(rows["text"]), width)]
+            rows["n"] = np.array([len(f) for f in sets])
             # A sketch as in PartEnum, over twice as many equal ranges as a middle-sized set has features.
             bits = max(6, min(14, int(np.median(rows["n"])).bit_length() + 1))
             inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -257,13 +331,15 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     real = sets.where("id is not null and n > 0")
     # A table of its own, so that the join can split a class with very many members.
     smallest = work.table(real.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "smallest")
-    classes = work.table(real.join(smallest, ["n", "h1", "h2"]).select("id", "rep", "n", "sketch"), "classes")
-    reps = classes.where("id = rep").select("rep", "n", "sketch").dropDuplicates(["rep"])
+    classes = work.table(real.join(smallest, ["n", "h1", "h2"]).select("id", "rep", "n"), "classes")
+    sketches = real.select(F.col("id").alias("rep"), "n", "sketch")
 
-    signed = base.where("id is not null").mapInArrow(_sign(width, percent), "sig long, tag int, id long")
-    order = Window.partitionBy("sig", "tag").orderBy("id")
-    shared = signed.select("sig", "tag", "id", F.lag("id").over(order).alias("prev"), F.lead("id").over(order).alias("next"), F.first("id").over(order).alias("first"))
-    shared = work.table(shared.where("prev is not null or next is not null").drop("next"), "shared")
+    features = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, int(features * 2 * (100 - percent) / (100 + percent) * 1.75) // BUCKET)
+    buckets = min(buckets, MOST_BUCKETS)
+    signed = base.where("id is not null").mapInArrow(_sign(width, percent, buckets), _PACKED)
+    shared = work.table(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _SHARED), "shared")
+    sweep(spark)
 
     def of_class(pairs: DataFrame) -> DataFrame:
         one, two = (classes.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
@@ -277,17 +353,25 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return work.table(rows.select("a", "b", "ta", "tb").mapInArrow(_linked(width, percent), "a long, b long"), f"{name}-links")
 
-    likely = shared.select("id", F.explode(F.array("prev", "first")).alias("other")).where("other is not null and other <> id")
+    def sketched(rows: DataFrame, of: str, *names: str) -> DataFrame:
+        """rows with the size and sketch of the set that column `of` names; a row for each, if an id has several sets."""
+        found = may_match(sketches, "rep", rows, of).distinct()
+        return rows.join(found.select(F.col("rep").alias(of), F.col("n").alias(names[0]), F.col("sketch").alias(names[1])), of)
+
+    probe = shared.where((F.col("sig").bitwiseAND(F.lit(2)) != 0) | (F.shiftright("sig", 2).bitwiseAND(F.lit(7)) == 0))
+    likely = probe.select("id", F.explode(F.array("prev", "first")).alias("other")).where("other <> id")
     likely = likely.groupBy("id", "other").count().groupBy("id").agg(F.max(F.struct("count", (-F.col("other")).alias("other"))).alias("best"))
-    likely = of_class(likely.select(F.col("id").alias("a"), (-F.col("best.other")).alias("b")))
-    likely = likely.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    likely = work.table(of_class(likely.select(F.col("id").alias("a"), (-F.col("best.other")).alias("b"))), "likely")
+    likely = sketched(sketched(likely, "a", "na", "sa"), "b", "nb", "sb")
     links = verified(likely.mapInArrow(_plausible(percent), "a long, b long"), "likely")
+    sweep(spark)
 
     near = connected_components(links, work)
     node = classes.select("id", "rep").join(near.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("id", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rows = work.table(shared.select("sig", F.col("tag").bitwiseAND(F.lit(127)).alias("inst"), "id").join(node, "id").select("sig", "inst", F.col("rep").alias("id"), "comp").distinct(), "rows")
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    rows = work.table(rows.join(mixed.select("sig", "size"), "sig"), "mixed")
+    held = work.table(shared.select("sig", "id").join(node, "id").select("sig", F.col("rep").alias("id"), "comp"), "held")
+    mixed = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
+    mixed = work.table(mixed.select("sig", "size"), "mixed-signatures")
+    rows = work.table(may_match(held, "sig", mixed, "sig").distinct().join(mixed, "sig"), "mixed")
 
     def tiled(rows: DataFrame, size: str, tile: int) -> DataFrame:
         """Each row once for every pair (x, y) of tiles that its own is part of."""
@@ -295,18 +379,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         return rows.withColumn("x", F.least("tile", "with")).withColumn("y", F.greatest("tile", "with")).drop("with", size)
 
-    sketched = tiled(rows.join(reps.withColumnRenamed("rep", "id"), "id"), "size", TILE).select("sig", "x", "y", "tile", "inst", "comp", "n", "sketch")
-    close = sketched.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_across(percent), "a long, b long").distinct()
+    across = tiled(sketched(rows, "id", "n", "sketch"), "size", TILE).select("sig", "x", "y", "tile", "comp", "n", "sketch")
+    close = across.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_across(percent), "a long, b long").distinct()
     family = connected_components(close, work).select(F.col("node").alias("comp"), F.col("component").alias("family"))
     members = work.table(rows.select("id", "comp").distinct().join(family, "comp"), "members")
     sizes = members.groupBy("family").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "family").join(reps.select(F.col("rep").alias("id"), "n"), "id")
-    members = tiled(members.join(may_match(base, "id", members, "id"), "id"), "size", TILE_OF_TEXTS).select("family", "x", "y", "tile", "id", "comp", "n", "text")
+    members = members.join(sizes, "family")
+    members = tiled(members.join(may_match(base, "id", members, "id"), "id"), "size", TILE_OF_TEXTS).select("family", "x", "y", "tile", "id", "comp", "text")
     more = members.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_within(width, percent), "a long, b long")
-    links = links.unionAll(work.table(more, "more-links", arrow_rows=500))
+    links = links.unionAll(work.table(more, "more-links"))
 
     whole = connected_components(links, work).select(F.col("node").alias("rep"), "component")
     final = classes.select("id", "rep").distinct().join(whole, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     # A node that stands for several sets (a repeated id) is reached through any of them.
     final = final.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return sets.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = sets.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return work.finish(out)

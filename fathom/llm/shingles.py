@@ -12,7 +12,7 @@ import numpy as np
 
 from .hashing import chunks_of, mix64, slice_hashes
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 _SPACE = bytes(range(9, 14)) + b" "
 #: A-Z to a-z, every separator to a blank.
 _FOLD = bytes(32 if i in _SPACE else i + 32 if 65 <= i <= 90 else i for i in range(256))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from fathom.storage import Workspace
 
+from .batches import slices
 from .bpe import encoder
 
 MAGIC, NO_ID = b"TKZ1", -(1 << 63)
@@ -128,15 +129,14 @@ def _frames(tokenizer: str, end_id: int, width: int, dictionary: bytes, bounds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch, frames, counts = whole.slice(begin, 1000), [], []
-                for _, ids in own.encode([t or "" for t in batch.column("text").to_pylist()]):
-                    frames.append(squeeze.compress(np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()))
-                    counts.append(len(ids) + 1)
-                ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                buckets = np.searchsorted(bounds, ids, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column("id"), pa.array(frames, pa.binary()), pa.array(counts, pa.int64())], ["bucket", "id", "frame", "count"])
+        for batch in slices(batches, "text"):
+            frames, counts = [], []
+            for _, ids in own.encode([t or "" for t in batch.column("text").to_pylist()]):
+                frames.append(squeeze.compress(np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()))
+                counts.append(len(ids) + 1)
+            ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            buckets = np.searchsorted(bounds, ids, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column("id"), pa.array(frames, pa.binary()), pa.array(counts, pa.int64())], ["bucket", "id", "frame", "count"])
 
     return run
 

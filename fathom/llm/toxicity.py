@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chars as ch
+from .batches import pieces, slices
 from .hashing import chunks_of, slice_hashes
 
 BUCKET_BITS, DIM, GRAMS = 17, 4, (4, 5)
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 #: Labelled rows of each class that a model is fitted on, at most (those with the smallest hashes of their ids).
 TRAIN_ROWS = 1500
 EPOCHS, GAIN, MIN_TEXTS = 100, 100.0, 5
@@ -33,10 +34,9 @@ PADDING = 100
 RATES = (6.0, 0.03, 0.3)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the distinct features of each text of a chunk, the text that each belongs to (in order), and its
-    weight there: 1 + ln of how often it occurs."""
-    codes, begins = ch.joined([t.lower() for t in texts])
+def _found(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each feature in lower-cased texts, as often as it occurs, and the text that it is in."""
+    codes, begins = ch.joined(texts)
     inside = (ch.letters(codes) > 0) | ((codes >= 48) & (codes <= 57))
     starts, ends = ch.runs(inside)
     with np.errstate(over="ignore"):
@@ -54,8 +54,20 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 code = (code ^ (code >> np.uint32(13))) * np.uint32(0x2C1B3C6D)
                 found.append((code >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
                 where.append(at + 1)
-    buckets, places = np.concatenate(found), np.concatenate(where)
-    keys = np.sort((np.searchsorted(begins, places, side="right") - 1) << BUCKET_BITS | buckets)
+    return np.concatenate(found), np.searchsorted(begins, np.concatenate(where), side="right") - 1
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the distinct features of each text of a chunk, the text that each belongs to (in order), and its
+    weight there: 1 + ln of how often it occurs. A text longer than a chunk is read in pieces, cut at white space."""
+    if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_CHARS:
+        often = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for piece in pieces(texts[0].lower(), CHUNK_CHARS):
+            often += np.bincount(_found([piece])[0], minlength=1 << BUCKET_BITS)
+        buckets = np.flatnonzero(often)
+        return buckets.astype(np.int32), np.zeros(len(buckets), dtype=np.int64), 1 + np.log(often[buckets])
+    buckets, owner = _found([t.lower() for t in texts])
+    keys = np.sort(owner << BUCKET_BITS | buckets)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
     weights = 1 + np.log(np.diff(np.append(first, len(keys))))
     keys = keys[first]
@@ -136,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: F.Column | None = None,
     rows = base.join(F.broadcast(chosen), "id")  # at most 2 * max_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts, found, shares, sizes = [t or "" for t in batch.column("text").to_pylist()], [], [], []
             for text in texts:
                 buckets, _, often = features([text])
@@ -156,7 +168,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             scores = shared.value.score([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], [id_col, "score"])
 

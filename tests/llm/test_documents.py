@@ -123,6 +123,38 @@ def test_shingle_sets_are_those_of_the_definition():
     assert [len(s) for _, s in shingle_sets(texts, 4)] == [len(shingles(t)) for t in texts]
 
 
+def patterned(n, swap=False):
+    """A word of a and b that a polynomial hash cannot tell from the one with both swapped."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word.translate(str.maketrans("ab", "ba")) if swap else word
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 262_144])
+def test_words_that_meet_in_a_polynomial_hash_stay_apart(n, library):
+    texts = [f"q {patterned(n, s)} z" for s in (False, True)]
+    one, two = (set(s.tolist()) for _, s in shingle_sets(texts, 2))
+    assert len(one) == len(two) == 2 and not one & two
+    got = dict(WordCacheEncoder(tokenizer_path()).encode([*texts, " ".join(texts)]))
+    assert [got[i].tolist() for i in range(3)] == [library.library.encode(t, add_special_tokens=False).ids for t in (*texts, " ".join(texts))]
+
+
+def test_hits_of_the_piece_cache_are_compared(library, monkeypatch):
+    monkeypatch.setattr("fathom.llm.bpe.slice_hashes", lambda chars, starts, ends: np.full(len(starts), 7, dtype=np.uint64))
+    texts = ["one two three", "three two one", " one", "x" * 300 + " y"]
+    got = dict(WordCacheEncoder(tokenizer_path()).encode(texts))
+    assert [got[i].tolist() for i in range(4)] == [library.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_encoded_in_parts(library, monkeypatch):
+    monkeypatch.setattr("fathom.llm.bpe.CHUNK_CHARS", 50)
+    r = random.Random(3)
+    texts = ["".join(r.choices(["word", " ", "  ", "\n", "'s", "12", "é", "漢", "!", " a", "\u2009"], k=400)) for _ in range(40)]
+    got = dict(WordCacheEncoder(tokenizer_path()).encode(texts))
+    assert [got[i].tolist() for i in range(40)] == [library.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = random.Random(4)
     rows = []

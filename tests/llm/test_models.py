@@ -202,3 +202,34 @@ def test_language_stage_keeps_documents_where_none_is_labelled(spark, edge):
     assert kept.columns == docs.columns and corpus_pipeline.language_stage(spark, docs.limit(0), SF).count() == 0
     some = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en"))
     assert sorted(corpus_pipeline.language_stage(spark, some, SF).select("doc_id").collect(), key=str) == sorted(kept.select("doc_id").collect(), key=str)
+
+
+ODD = "doc_id long, text string, lang string, `meta.lang` string, _bit int, _word int, _maybe boolean, _mask int, row int, number int, whole string, _gone int"
+
+
+def _odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "x", 1, 2, True, 3, 4, 5, "w", 6) for i, t in rows], ODD)
+
+
+def test_stages_take_nulls_repeated_ids_and_any_column_names(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    near = " ".join(["other", *long.split(" ")[1:]])
+    rows = [(1, "text A of one"), (1, "text B is unique"), (2, "text A of one"), (3, None), (4, ""), (5, " \n"), (None, "text A of one"), (None, "no id here"), (6, "same row"), (6, "same row"), (7, long), (8, near), (8, "eight again"), (9, "123 456")]
+    docs = _odd(spark, rows)
+
+    def left(stage, frame=docs):
+        out = stage(spark, frame, SF)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    def without_rows(*gone):
+        return sorted((r for r in rows if r not in gone), key=str)
+
+    assert left(corpus_pipeline.language_stage) == without_rows((3, None), (4, ""), (5, " \n"), (9, "123 456"))
+    assert left(corpus_pipeline.exact_stage) == without_rows((1, "text A of one"), (None, "text A of one"), (3, None))
+    assert left(corpus_pipeline.near_stage) == sorted([(1, "text A of one"), (1, "text B is unique"), (3, None), (4, ""), (5, " \n"), (None, "no id here"), (6, "same row"), (7, long), (8, "eight again"), (9, "123 456")], key=str)
+    assert left(corpus_pipeline.decontamination_stage) == without_rows()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert left(stage, docs.limit(0)) == []
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), SF).count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.packing_stage(spark, docs, SF).collect()} == {i for i, _ in rows}
