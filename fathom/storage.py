@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ARROW_ROWS, _ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch for Python while a table is written.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,23 +48,80 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver
+    collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+class _Held:
+    """Settings that hold while any write of this process needs them; the values before come back after the last."""
+
+    def __init__(self) -> None:
+        self.lock, self.users, self.before = threading.Lock(), 0, {}
+
+    @contextlib.contextmanager
+    def held(self, spark: SparkSession, settings: dict[str, object]) -> Iterator[None]:
+        with self.lock:
+            self.users += 1
+            if self.users == 1:
+                self.before = {k: spark.conf.get(k) for k in settings}
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.users -= 1
+                if not self.users:
+                    for k, v in self.before.items():
+                        spark.conf.set(k, v)
+
+
+_HELD, _SCOPES = _Held(), threading.local()
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Workspaces that this thread makes inside go at the end; what is still needed has to be written by then."""
+    outer, mine = getattr(_SCOPES, "open", None), []
+    _SCOPES.open = mine
+    try:
+        yield
+    finally:
+        _SCOPES.open = outer
+        for work in mine:
+            work.remove()
+
+
 class Workspace:
     """A folder of its own below the shared one; it goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.name, self.root = spark, name, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         _remove_at_exit(spark, self.root)
+        if (scope := getattr(_SCOPES, "open", None)) is not None:
+            scope.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str, arrow_rows: int = 1000) -> DataFrame:
         """Write df once and read it back: cuts the lineage, and survives the loss of any executor. While it is
-        written, batches for Python hold arrow_rows rows, which bounds a worker's memory when texts are long."""
-        path, before = self.path(f"{name}-{uuid.uuid4().hex[:6]}"), self.spark.conf.get(_ARROW_ROWS)
-        self.spark.conf.set(_ARROW_ROWS, arrow_rows)
-        try:
+        written, batches for Python hold arrow_rows rows or ARROW_BYTES at most, which bounds a worker's memory when
+        texts are long."""
+        path = self.path(f"{name}-{uuid.uuid4().hex[:6]}")
+        with _HELD.held(self.spark, {_ARROW_ROWS: arrow_rows, _ARROW_BYTES: ARROW_BYTES}):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(_ARROW_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """df as a table of its own; all else in this workspace goes."""
+        out = Workspace(self.spark, f"{self.name}-result").table(df, "result")
+        self.remove()
+        sweep(self.spark)
+        return out
+
+    def remove(self) -> None:
+        remove(self.spark, self.root)
