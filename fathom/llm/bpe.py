@@ -25,7 +25,7 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 _OTHER, _SPACE, _LETTER, _NUMBER, _UNSURE = range(5)
 #: Slots of the cache, and the pieces and characters that it holds at most before it starts anew.
-_CACHE_SLOTS, _CACHE_FULL, _CACHE_CHARS = 1 << 20, 600_000, 8 << 20
+_CACHE_SLOTS, _CACHE_FULL, _CACHE_CHARS = 1 << 20, 500_000, 4 << 20
 #: Pieces longer than this are not kept.
 _LONGEST = 256
 

@@ -8,13 +8,15 @@
 3. Each set is checked against its likeliest partner (of the first holder of a signature and its neighbour there, the
    one with the most common signatures). That is linear and joins most of what belongs together. An eighth of the
    signatures of larger sets serve to find it; what is missed here is found below.
-4. What is left are signatures whose holders are still of several components. There all pairs across components are
-   compared in tiles of bounded size by one-byte sketches, which can only rule out pairs that are surely too different.
+4. What is left are signatures whose holders are still of several components. Where there are FEW holders, the pairs
+   across components are listed, each once for all its signatures, ruled out by one-byte sketches if they are surely too
+   different, and else checked by their shingles. The list grows with the signatures and not with any square.
+5. Signatures of more holders: there all pairs across components are compared in tiles of bounded size by sketches.
    Components with a pair that passes become one family (of a tile's pairs only those are passed on that connect it).
-5. In a family all texts of different components are compared, in tiles again, by sketches and then by their shingles,
+6. In a family all texts of different components are compared, in tiles again, by sketches and then by their shingles,
    until its links are known up to connection. Components of all verified links are the result.
 
-Sketches and signatures never lose a link; what is verified in steps 3 and 5 never adds one.
+Sketches and signatures never lose a link; what is verified in steps 3, 4 and 6 never adds one.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from .shingles import shingle_sets
 
 #: Rows of a signature, and texts of a family, that are compared with each other at a time.
 TILE, TILE_OF_TEXTS = 2048, 256
+#: Holders of a signature whose pairs are listed.
+FEW = 32
 #: Signatures that a task packs at a time, and about how many a bucket should have.
 CHUNK, BUCKET = 100_000, 100_000
 _PACKED = "bucket int, base long, width int, sigs binary, ids binary, prevs binary, firsts binary"
@@ -373,6 +377,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     mixed = work.table(mixed.select("sig", "size"), "mixed-signatures")
     rows = work.table(may_match(held, "sig", mixed, "sig").distinct().join(mixed, "sig"), "mixed")
 
+    both = "flatten(transform(held, x -> transform(filter(held, y -> y.comp > x.comp), y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))"
+    listed = rows.where(F.col("size") <= FEW).groupBy("sig").agg(F.collect_list(F.struct("comp", "id")).alias("held"))
+    listed = work.table(listed.select(F.explode(F.expr(both)).alias("p")).select("p.a", "p.b").distinct(), "listed")
+    listed = sketched(sketched(listed, "a", "na", "sa"), "b", "nb", "sb")
+    links = links.unionAll(verified(listed.mapInArrow(_plausible(percent), "a long, b long").distinct(), "listed"))
+    rows = rows.where(F.col("size") > FEW)
+    sweep(spark)
+
     def tiled(rows: DataFrame, size: str, tile: int) -> DataFrame:
         """Each row once for every pair (x, y) of tiles that its own is part of."""
         tiles = F.ceil(F.col(size) / tile).cast("int")
