@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ARROW_ROWS, _ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch for Python while a table is written.
@@ -49,10 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver
-    collects its garbage."""
+    """Give memory and disk back between the steps of a long job. The driver collects its garbage, whereupon Spark removes
+    the shuffle files and broadcasts of plans that nothing refers to any more; the executors collect theirs, whereupon
+    their heaps shrink to what is in use. One short task for each core; nothing depends on where they run."""
     gc.collect()
     spark._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 class _Held:
