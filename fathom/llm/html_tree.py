@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,14 +39,22 @@ class Node:
     links: int = 0  # characters of a run that stand inside links
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Comments, scripts, styles, forms' controls and what is not shown leave no text.
 
     Unclosed and crossed tags are accepted: an end tag closes the nearest open element of its name, and a start tag of
-    a block closes an open paragraph. A run of text ends where a block begins or ends; a line break is a blank.
+    a block closes an open paragraph. A run of text ends where a block begins or ends; a line break is a blank. The time
+    grows with the page's length, however deep its elements nest.
     """
     root = Node("#root")
-    stack, inline, run, links = [root], [], [], 0
+    stack, inline, run, links = [root], Counter(), [], 0
+    places: dict[str, list[int]] = {}  # where the open elements of each name are in the stack
+    outer, inner = 0, 0  # open elements that hide their text, among blocks and among inline elements
 
     def flush() -> None:
         nonlocal links
@@ -56,12 +66,25 @@ def parse(source: str) -> Node:
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw and not hidden:
+        if raw and not outer and not inner:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
-            links += len(text) if "a" in inline else 0
+            links += len(text) if inline["a"] else 0
+
+    def cut(depth: int) -> None:
+        """Close the open elements from this place on."""
+        nonlocal outer, inner
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            places[tag].pop()
+            outer -= tag in _SKIPPED
+        inline.clear()
+        inner = 0
+
+    def last(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
-    hidden, at = 0, 0
+    at = 0
     while match := _TOKEN.search(source, at):
         add(source[at : match.start()])
         at = match.end()
@@ -71,20 +94,14 @@ def parse(source: str) -> Node:
             continue
         tag = match["tag"].lower()
         if match["close"]:
-            if tag in INLINE and tag in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(tag)]
-                hidden -= tag in _SKIPPED
-            elif tag in ("br", "p") and all(n.tag != tag for n in stack):
+            if tag in INLINE and inline[tag]:
+                inline[tag] -= 1
+                inner -= tag in _SKIPPED
+            elif tag in ("br", "p") and not places.get(tag):
                 add(" ") if tag == "br" else flush()
-            elif tag not in INLINE and any(n.tag == tag for n in stack[1:]):
+            elif tag not in INLINE and places.get(tag):
                 flush()
-                while True:
-                    top = stack.pop()
-                    hidden -= top.tag in _SKIPPED
-                    if top.tag == tag:
-                        break
-                inline.clear()
-                hidden = sum(n.tag in _SKIPPED for n in stack)
+                cut(places[tag][-1])
             continue
         closed = match["attrs"].endswith("/") and (tag in VOID or tag in ("svg", "math"))
         if tag in VOID or closed:
@@ -94,28 +111,24 @@ def parse(source: str) -> Node:
                 flush()
             continue
         if tag in INLINE:
-            inline.append(tag)
-            hidden += tag in _SKIPPED
+            inline[tag] += 1
+            inner += tag in _SKIPPED
             continue
         flush()
         if tag in IMPLIED:
             ends, limits = IMPLIED[tag]
-            depth = len(stack) - 1
-            while depth > 0 and stack[depth].tag not in limits:
-                if stack[depth].tag in ends:
-                    del stack[depth:]
-                    inline.clear()
-                    hidden = sum(n.tag in _SKIPPED for n in stack)
-                depth -= 1
+            while (place := last(ends)) > last(limits):
+                cut(place)
         attrs = " ".join(f"{m[1]}={m[2] or m[3] or m[4] or ''}" for m in _ATTR.finditer(match["attrs"]))
         node = Node(tag, attrs.lower(), stack[-1])
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            end = _raw_end(tag).search(source, at)
             at = end.end() if end else len(source)
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack[-1].children.append(node)
         stack.append(node)
-        hidden += tag in _SKIPPED
+        outer += tag in _SKIPPED
     add(source[at:])
     flush()
     return root

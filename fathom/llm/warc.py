@@ -28,7 +28,10 @@ from fathom.storage import Workspace
 from .members import maybe_members
 from .token_store import filesystem, put
 
-EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+#: Captures are dated by their page's id, one second each from EPOCH on, and again from EPOCH after SPAN seconds.
+EPOCH, SPAN = datetime(2024, 1, 1, tzinfo=UTC), 100 * 366 * 86400
+#: The id that stands for a missing one in index entries.
+NO_ID = -(1 << 63)
 SPARSE, CUTS = 128, 64  # entries between two marks of a run's sparse index; keys that a run offers as range bounds
 _RUNS = "part int, run string, entries long, marks string"
 _RANGES = "part int, low string, high string, runs array<string>"
@@ -182,11 +185,11 @@ def _write(root: str):
                         fs, path = filesystem(f"{root}/archive-{name}.warc.gz")
                         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                         out = fs.open_output_stream(path, compression=None)
-                    stamp = EPOCH + timedelta(seconds=page_id or 0)
+                    stamp = EPOCH + timedelta(seconds=(page_id or 0) % SPAN)
                     payload = (html or "").encode("utf-8", "surrogatepass")
                     member = record(page_id, url, stamp, payload, payload_digest(payload), keep, revisit)
                     out.write(member)
-                    entries.append([url_key(url), stamp.strftime("%Y%m%d%H%M%S"), -1 if page_id is None else page_id, name, at, len(member)])
+                    entries.append([url_key(url), stamp.strftime("%Y%m%d%H%M%S"), NO_ID if page_id is None else page_id, name, at, len(member)])
                     at += len(member)
         if out is not None:
             out.close()
@@ -266,7 +269,7 @@ class Archive:
                         source, of = fs.open_input_file(path), name
                     more[i] = fields(block[i], source.read_at(length, offset))
                 source.close()
-            rows = [[part, place + i, e[0], e[1], None if e[2] < 0 else e[2], *e[3:], *m] for i, (e, m) in enumerate(zip(block, more, strict=True))]
+            rows = [[part, place + i, e[0], e[1], None if e[2] == NO_ID else e[2], *e[3:], *m] for i, (e, m) in enumerate(zip(block, more, strict=True))]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
         parts = self.parts.repartition(max(1, self.parts.count()))
@@ -276,10 +279,9 @@ class Archive:
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, part_entries: int = 8192, fan_in: int = 256) -> Archive:
     """Write a record per row (null html: empty payload) and index them all.
 
-    Of records with equal payloads of at least least_bytes bytes the one with the largest id (ids are not negative) is a
+    Of records with equal payloads of at least least_bytes bytes the one with the largest id is a
     response and the others revisit it; smaller ones are all responses. Rows that repeat the largest id are responses;
-    a null id is smaller than any. Null URLs have the key ")/". Captures are dated by id, one second each, from EPOCH
-    on. Columns other than the three are ignored. An empty table gives an archive without records.
+    a null id is smaller than any. Null URLs have the key ")/". Captures are dated by id (see SPAN). Columns other than the three are ignored. An empty table gives an archive without records.
 
     Pages whose payload occurs once stay where they were read; only the others are moved, to meet the page they revisit.
     """

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -100,6 +101,30 @@ def test_generated_pages_that_were_not_trained_on():
     assert right >= 50
 
 
+def test_deep_pages_take_time_in_proportion():
+    for page in ("<div>" * 100_000 + "deep", "<p>a<button>" + "<div>b" * 50_000 + "deep", "<b>x" * 100_000 + "deep", "<ul><li>" * 50_000 + "deep"):
+        began = time.perf_counter()
+        assert any("deep" in n.text for n in html_extract.nodes_of(parse(page)) if n.tag == "#text") or "<button>" in page
+        assert time.perf_counter() - began < 20
+    spans = html_extract.nodes_of(parse("<ul><li>a<li>b<p>c<div>d</ul>e<table><tr><td>f<td>g<tr><td>h</table>"))
+    assert [(n.tag, n.text) for n in spans if n.text] == [("#text", x) for x in "abcdefgh"] and [n.tag for n in spans if n.tag in ("li", "tr", "td")] == ["li", "li", "tr", "td", "td", "tr", "td"]
+
+
+def test_extracted_text_of_pages_written_by_hand(spark):
+    """Expected texts are written here and do not come from this package's reader."""
+    article = ["The river rises in the hills, and for most of its length it is narrow. Boats go no further than the mill.", "In spring the water covers the meadows &amp; the road; people then walk along the dam, which was built long ago.", "Nobody knows who built it. The oldest map shows it already, with a chapel at its end."]
+    body = "".join(f"<p>{p}</p>\n" for p in article)
+    want = " ".join(article).replace("&amp;", "&")
+    shells = [
+        "<html><body><nav><a href=/>Home</a> <a href=/x>News</a></nav><article>{}</article><footer>Copyright, all rights reserved</footer></body></html>",
+        "<body><header>Daily Paper <ul><li><a href=1>One</a><li><a href=2>Two</a></ul></header><main>{}</main><aside><h3>Related</h3><ul><li><a href=3>Three</a></ul></aside><footer>About us</footer></body>",
+        "<div class=menu><a href=1>One</a><a href=2>Two</a></div><div class=content>{}</div><div class=comments><p>I liked it.</p></div><div class=footer>Imprint</div><script>x()</script>",
+    ]
+    rows = [(i, "u", shell.format(body)) for i, shell in enumerate(shells)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert [r["text"] for r in sorted(got, key=lambda r: r["page_id"])] == [want] * 3
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain & simple", "x"), (4, "u", "<p>unclosed <b>bold", "x"), (5, "u", "<article><p>" + LONG + "</p></article>", "x"), (6, "u", "<script>only()</script><!-- no -->", "x"), (6, "u", "</div></p><", "x")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()
@@ -135,6 +160,12 @@ def _archive(rows, got):
     assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_archive_takes_any_id(spark):
+    rows = [(10**12, "u", "a"), (-1, "u", "b"), (-5, "u", "b"), (2**63 - 1, "v", "c"), (None, "w", "b"), (-(2**63) + 1, "v", "c")]
+    got = write_archive(spark.createDataFrame(rows, "page_id long, url string, html string")).read().collect()
+    _archive(rows, got)
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "http://a.example/x?y#z", "<p>é</p>"), (2, None, None), (3, "https://www.b.example:8080/", ""), (4, "http://a.example/x", "<p>é</p>"), (5, "not a url \r\n", LONG), (6, "u", "a\r\n\r\nb"), (6, "u", "a\r\n\r\nb"), (None, "u", "<p>é</p>")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(4)
