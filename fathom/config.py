@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field, fields
+from typing import ClassVar
 from urllib.parse import urlsplit
 
 #: Directories and generated files that a vault scan leaves out.
@@ -12,14 +13,21 @@ GENERATED_FILES, GENERATED_PREFIX = ("graph_report.md", "graph.json"), ".graphif
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
 
 
-def _env(name: str, default, kind: type = str):
+def _threshold(value: str) -> float | None:
+    return float(value) if value else None
+
+
+def _env(name: str, default, kind=str):
     return field(default_factory=lambda: kind(os.environ.get(name, default)), metadata={"env": name})
 
 
 @dataclass(frozen=True)
 class EngineConfig:
+    """The numbers are fixed values that rankings depend on. Without a relevance threshold the embedder's own holds;
+    THRESHOLD is for embedders that have none. provider: "builtin", or "server" for a model server at base_url."""
+
     vault_path: str = _env("VAULT_PATH", "vault")
-    store_path: str = _env("CHROMA_PATH", "store")
+    store_path: str = _env("STORE_PATH", "store")
     graph_path: str = _env("GRAPH_PATH", "graph")
     embedding_model: str = _env("EMBEDDING_MODEL", "bge-m3")
     generation_model: str = _env("GENERATION_MODEL", "qwen2.5:14b")
@@ -33,12 +41,18 @@ class EngineConfig:
     summary_weight: float = _env("SUMMARY_WEIGHT", 0.3, float)
     graph_hops: int = _env("GRAPH_HOPS", 2, int)
     graph_seed_notes: int = _env("GRAPH_SEED_NOTES", 5, int)
-    relevance_threshold: float = _env("RELEVANCE_THRESHOLD", 0.48, float)
+    relevance_threshold: float | None = _env("RELEVANCE_THRESHOLD", "", _threshold)
+    provider: str = _env("MODEL_PROVIDER", "builtin")
+    tokenizer: str = _env("TOKENIZER", "whitespace")
     wiki_dir: str = _env("WIKI_DIR", "04-WIKI")
 
+    THRESHOLD: ClassVar[float] = 0.48
+
     def __post_init__(self) -> None:
         if urlsplit(self.base_url).hostname not in LOCAL_HOSTS:
             raise ValueError(f"only local model endpoints are allowed, not {self.base_url}")
+        if self.provider not in ("builtin", "server"):
+            raise ValueError(f"no provider {self.provider}")
         if not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("chunk_overlap must be smaller than chunk_size")
 

@@ -3,34 +3,48 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.config import EngineConfig
 from fathom.functions.text import preview
-from fathom.operators import answer, bm25, chunking, community, dense, fusion, graph
-from fathom.operators.store import UnitStore, load_graph, save_graph
-from fathom.providers import Embedder, Generator, embed_column, extractive_generator, generate_column, hashing_embedder
+from fathom.operators import answer, bm25, community, dense, evaluate, fusion, graph
+from fathom.operators.store import UnitStore, load_graph, save_graph, table_if_there
+from fathom.providers import Embedder, Generator, cached, embed_column, extractive_generator, generate_column, hashing_embedder, local_embedder, local_generator, tokenizers
 from fathom.sources import vault
 from fathom.storage import Workspace
+from fathom.streaming.incremental import units_of
 
 SUMMARY = "community_summary"
 
 
 class Engine:
+    """Without an embedder or generator the configuration's provider decides: the built-in stand-ins, or a local model
+    server."""
+
     def __init__(self, spark: SparkSession, config: EngineConfig | None = None, embedder: Embedder | None = None, generator: Generator | None = None):
         self.spark, self.config = spark, config or EngineConfig()
-        self.embedder, self.generator = embedder or hashing_embedder(), generator or extractive_generator()
-        self.store = UnitStore(spark, self.config.store_path)
+        c = self.config
+        served = c.provider == "server"
+        self.embedder = embedder or (local_embedder(c.base_url, c.embedding_model) if served else hashing_embedder())
+        self.generator = generator or (local_generator(c.base_url, c.generation_model) if served else extractive_generator())
+        self.tokenizer = tokenizers()[c.tokenizer]
+        self.store = UnitStore(spark, c.store_path)
+
+    @property
+    def threshold(self) -> float:
+        """The configured least similarity of evidence, else the embedder's own."""
+        own = getattr(self.embedder, "threshold", EngineConfig.THRESHOLD)
+        return own if self.config.relevance_threshold is None else self.config.relevance_threshold
 
     def notes(self) -> DataFrame:
         return vault.parse_notes(vault.scan(self.spark, self.config.vault_path))
 
     def _units(self, notes: DataFrame) -> DataFrame:
-        keep = ("date", "project", "type", "public")
-        return embed_column(chunking.chunk_notes(notes, self.config.chunk_size, self.config.chunk_overlap, keep), self.embedder)
+        return units_of(notes, self.embedder, self.config.chunk_size, self.config.chunk_overlap)
 
     def index(self, public_only: bool = False) -> int:
         """Replace all chunks by those of the vault; summaries stay. A public-only index needs a store path of its own."""
@@ -38,8 +52,20 @@ class Engine:
             raise ValueError("a public-only index must not go to the default store path")
         notes = self.notes()
         self.store.replace(self._units(notes.where("public") if public_only else notes))
+        self.save_words()
         return self.store.read("").count()
 
+    def save_words(self) -> None:
+        """Write the BM25 index of all units beside the store."""
+        bm25.Bm25Index.build(self.store.read(), "unit_id", tokenizer=self.tokenizer).save(f"{self.config.store_path}/bm25")
+
+    def words(self) -> bm25.Bm25Index:
+        """The saved BM25 index, else one made now."""
+        path = f"{self.config.store_path.rstrip('/')}/bm25"
+        if table_if_there(self.spark, f"{path}/numbers") is not None:
+            return bm25.Bm25Index.load(self.spark, path, self.tokenizer)
+        return bm25.Bm25Index.build(self.store.read(), "unit_id", tokenizer=self.tokenizer)
+
     def _queries(self, texts: list[str]) -> DataFrame:
         rows = [(i, t) for i, t in enumerate(texts)]
         return embed_column(self.spark.createDataFrame(rows, "query int, text string"), self.embedder)
@@ -50,7 +76,7 @@ class Engine:
         units = self.store.read().withColumnRenamed("unit_id", "unit")
         asked, many = self._queries(texts), EngineConfig.candidate_k(k)
         summaries = units.where(F.col("kind") == SUMMARY).select("unit")
-        lists = {"dense": dense.dense_search(units, asked, many, "unit", query_id_col="query"), "bm25": bm25.Bm25Index.build(units, "unit").search(asked, many, "query", "text")}
+        lists = {"dense": dense.dense_search(units, asked, many, "unit", query_id_col="query"), "bm25": self.words().search(asked, many, "query", "text")}
         weights = {"dense": c.dense_weight, "bm25": c.bm25_weight}
         loaded = load_graph(self.spark, c.graph_path) if c.graph_weight else None
         if loaded is not None:
@@ -68,7 +94,7 @@ class Engine:
     def ask(self, texts: list[str], k: int = 5) -> DataFrame:
         asked, units = self._queries(texts), self.store.read("").withColumnRenamed("unit_id", "unit")
         top = dense.top_similarity(dense.dense_search(units, asked, 5, "unit", query_id_col="query"))
-        return answer.answers(asked, self.search(texts, k), top, self.generator, self.config.relevance_threshold)
+        return answer.answers(asked, self.search(texts, k), top, self.generator, self.threshold)
 
     def agentic(self, text: str, k: int = 5, max_iterations: int = 2) -> answer.AgentState:
         def retrieve(q: str) -> str:
@@ -77,30 +103,94 @@ class Engine:
 
         return answer.agentic(text, retrieve, self.generator, max_iterations)
 
+    def _remembered(self, work: Workspace, prompts: DataFrame, name: str, keep_all: bool) -> tuple[DataFrame, dict[str, int]]:
+        """(key, answer) for rows (key, prompt), and counters. Answers are kept beside the graph, by key: what was told
+        before is not asked again. keep_all also keeps answers whose key is not in use now."""
+        path = f"{self.config.graph_path}/cache-{name}"
+        kept = table_if_there(self.spark, path)
+        kept = self.spark.createDataFrame([], "key string, answer string") if kept is None else work.table(kept, f"{name}-kept")
+        prompts = work.table(prompts.groupBy("key").agg(F.min("prompt").alias("prompt")), f"{name}-prompts")
+        told = work.table(cached(prompts, kept, "key", lambda missing: generate_column(missing, self.generator)), f"{name}-told")
+        stored = told.unionByName(kept.join(told, "key", "left_anti")) if keep_all else told
+        stored.write.mode("overwrite").parquet(path)
+        total, hits = prompts.count(), kept.join(prompts, "key", "left_semi").count()
+        return told, {"cached": hits, "asked": total - hits, "failed": total - told.count()}
+
     def build_graph(self) -> dict:
         """Backbone, entities, communities and their summaries; saves the graph and the summary units."""
         work = Workspace(self.spark, "graph")
         notes = self.notes()
         edges, unresolved = graph.backbone(notes)
-        told = generate_column(notes.select("source", F.concat(F.lit("ENTITIES\n\n\n"), F.substring("body", 1, 6000)).alias("prompt")), self.generator)
-        entities = graph.entity_edges(told.where("error is null").select("source", F.col("answer").alias("raw")))
+        told, extraction = self._remembered(work, notes.select(F.col("content_sha").alias("key"), F.concat(F.lit("ENTITIES\n\n\n"), F.substring("body", 1, 6000)).alias("prompt")), "entities", True)
+        entities = graph.entity_edges(notes.select("source", F.col("content_sha").alias("key")).join(told, "key").select("source", F.col("answer").alias("raw")))
         edges = work.table(graph.strongest(edges.withColumn("label", F.lit(None).cast("string")).unionByName(entities)), "edges")
         found = community.communities(edges, work)
         ends = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).where("startswith(id, 'entity::')").distinct()
         nodes = notes.select(F.col("source").alias("id"), F.lit("note").alias("kind"), "title", F.lit(None).cast("string").alias("name")).unionByName(ends.select("id", F.lit("entity").alias("kind"), F.lit(None).cast("string").alias("title"), F.substring("id", 9, 1 << 20).alias("name")))
-        names = found.select("community").distinct().orderBy("community")
-        numbered = self.spark.createDataFrame([(r["community"], i) for i, r in enumerate(names.collect())], "community string, community_id int")
+        names = found.select("community").distinct()
+        numbered = work.table(names.select("community", (F.row_number().over(Window.orderBy("community")) - 1).alias("community_id")), "numbered")
         nodes = work.table(nodes.join(found.withColumnRenamed("node", "id"), "id", "left").join(numbered, "community", "left").drop("community"), "nodes")
         save_graph(nodes, edges, self.config.graph_path)
         members = graph.community_members(nodes).where("note_count > 0")
         prompt = F.concat(F.lit("SUMMARY\n\n\n"), F.array_join(F.slice("titles", 1, 40), ", "), F.lit(". "), F.array_join(F.slice("entities", 1, 30), ", "))
-        texts = generate_column(members.select("community_id", F.col("note_count").cast("int").alias("note_count"), prompt.alias("prompt")), self.generator).where("error is null")
+        members = work.table(members.select("community_id", F.col("note_count").cast("int").alias("note_count"), F.col("member_hash").alias("key"), prompt.alias("prompt")), "members")
+        summaries, summarised = self._remembered(work, members.select("key", "prompt"), "summaries", False)
+        texts = members.join(summaries, "key")
         units = texts.select(F.concat(F.lit(f"{SUMMARY}::"), F.col("community_id")).alias("unit_id"), F.concat(F.lit("<community-"), F.col("community_id"), F.lit(">")).alias("source"), F.lit("").alias("header_path"), F.col("answer").alias("text"), "community_id", "note_count")
         self.store.replace(embed_column(units, self.embedder), SUMMARY)
-        return {"nodes": nodes.count(), "edges": edges.count(), "unresolved": unresolved.count(), "isolated": graph.isolated(nodes.where("kind = 'note'"), edges).count(), "communities": numbered.count()}
+        self.save_words()
+        counts = {"nodes": nodes.count(), "edges": edges.count(), "entities": nodes.where("kind = 'entity'").count(), "unresolved": unresolved.count(), "isolated": graph.isolated(nodes.where("kind = 'note'"), edges).count(), "communities": numbered.count()}
+        return counts | {"extraction": extraction, "summaries": summarised}
 
     def overview(self, text: str) -> dict:
-        return answer.exhaustive(text, self.store.read(SUMMARY).select("community_id", "text"), self.generator)
+        """The exhaustive answer over the summaries of the communities as they are in the graph now. `missing`: communities
+        with notes whose summary is not there."""
+        loaded = load_graph(self.spark, self.config.graph_path)
+        if loaded is None:
+            return answer.exhaustive(text, self.store.read(SUMMARY).select("community_id", "text"), self.generator) | {"missing": 0}
+        members = graph.community_members(loaded[0]).where("note_count > 0").select("community_id", F.col("member_hash").alias("key"))
+        kept = table_if_there(self.spark, f"{self.config.graph_path}/cache-summaries")
+        kept = self.spark.createDataFrame([], "key string, answer string") if kept is None else kept
+        found = members.join(kept, "key").select("community_id", F.col("answer").alias("text"))
+        return answer.exhaustive(text, found, self.generator) | {"missing": members.join(kept, "key", "left_anti").count()}
+
+    def evaluate(self, gold: DataFrame, k: int = 20) -> dict[str, DataFrame]:
+        """Results of a gold set (query, question, expected, category): `methods` by method and segment (grep, dense, bm25,
+        flat: fused without graph and summaries, integrated: as configured), `changes` from flat to integrated, and
+        `sweeps` over graph and summary weights. Also `regressed`, a one-row table."""
+        work = Workspace(self.spark, "evaluation")
+        gold = work.table(gold, "gold")
+        texts = [r["question"] for r in gold.orderBy("query").collect()]
+        units = self.store.read().withColumnRenamed("unit_id", "unit")
+        asked, many = self._queries(texts), EngineConfig.candidate_k(k)
+        sources = units.select("unit", "source")
+
+        def hits(ranked: DataFrame, method: str) -> DataFrame:
+            return work.table(evaluate.first_hits(gold, ranked).withColumn("method", F.lit(method)), method)
+
+        def by_unit(ranked: DataFrame, method: str) -> DataFrame:
+            return hits(evaluate.distinct_sources(ranked.join(sources, "unit")), method)
+
+        def fused(config: EngineConfig, method: str) -> DataFrame:
+            other = Engine(self.spark, config, self.embedder, self.generator)
+            return hits(evaluate.distinct_sources(other.search(texts, k)), method)
+
+        files = vault.scan(self.spark, self.config.vault_path).withColumnRenamed("raw", "text")
+        grep = evaluate.grep(files, gold.select("query", F.col("question").alias("text")), k)
+        c = self.config
+        flat, whole = fused(replace(c, graph_weight=0.0, summary_weight=0.0), "flat"), fused(c, "integrated")
+        methods = [hits(grep.select("query", "source", "rank"), "grep"), by_unit(dense.dense_search(units, asked, many, "unit", query_id_col="query"), "dense"), by_unit(self.words().search(asked, many, "query", "text"), "bm25"), flat, whole]
+        rows = methods[0]
+        for m in methods[1:]:
+            rows = rows.unionByName(m)
+        swept = []
+        for setting, config in evaluate.sweep_settings(c):
+            swept.append(evaluate.segments(fused(config, setting)))
+        sweeps = swept[0]
+        for s in swept[1:]:
+            sweeps = sweeps.unionByName(s)
+        regressed = self.spark.createDataFrame([(evaluate.regressed(flat, whole),)], "regressed boolean")
+        return {"methods": evaluate.segments(rows), "changes": evaluate.rank_changes(flat, whole), "sweeps": sweeps.withColumnRenamed("method", "setting"), "regressed": regressed}
 
     def distill(self, topic: str, k: int = 8, date: str | None = None, write: bool = False) -> dict:
         """A note about a topic; with write it goes into the vault (never over another note) and into the store."""
@@ -111,6 +201,7 @@ class Engine:
             note["source"] = self._write_note(note["filename"], note["note"])
             raw = self.spark.createDataFrame([(note["source"], note["note"])], "source string, raw string")
             self.store.upsert(self._units(vault.parse_notes(raw)))
+            self.save_words()
         return note
 
     def _write_note(self, filename: str, text: str) -> str:

@@ -26,8 +26,12 @@ def normalize_link(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(strip(last), "(?i)\\.md$", "")))
 
 
+#: What a wiki link looks like, the characters that a slug drops, and the slug of an empty topic.
+WIKI_LINK, SLUG_DROPS, EMPTY_SLUG = "\\[\\[([^\\]]+?)\\]\\]", '[\\\\/:*?"<>|]', "wiki-note"
+
+
 def link_targets(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("\\[\\[([^\\]]+?)\\]\\]"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(WIKI_LINK), F.lit(1))
 
 
 def normalize_entity(c: Column) -> Column:
@@ -39,8 +43,8 @@ def entity_id(name: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    kept = F.regexp_replace(F.regexp_replace(strip(c), '[\\\\/:*?"<>|]', ""), _BLANK_RUN, "-")
-    return F.coalesce(F.nullif(strip(kept, "-"), F.lit("")), F.lit("wiki-note"))
+    kept = F.regexp_replace(F.regexp_replace(strip(c), SLUG_DROPS, ""), _BLANK_RUN, "-")
+    return F.coalesce(F.nullif(strip(kept, "-"), F.lit("")), F.lit(EMPTY_SLUG))
 
 
 def header_path(*levels: Column) -> Column:
@@ -68,13 +72,6 @@ def is_public(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c.cast("string"))) == "true", F.lit(False))
 
 
-def text_list(raw: Column) -> Column:
-    """A JSON list of strings, one string, or null, as a list of trimmed strings that are not blank."""
-    many = F.from_json(raw, "array<string>")
-    found = F.when(raw.isNull(), F.array().cast("array<string>")).when(raw.startswith("["), many).otherwise(F.array(raw))
-    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), strip), lambda x: x != "")
-
-
 def link_list(raw: Column) -> Column:
     """Names between commas or line ends, trimmed and in lower case."""
     return F.filter(F.transform(F.split(F.translate(raw, "\n", ","), ","), lambda x: F.lower(strip(x))), lambda x: x != "")
@@ -94,6 +91,6 @@ def is_marker(text: Column, marker: str) -> Column:
 
 def compose_note(topic: Column, body: Column, links: Column, date: Column) -> Column:
     """A note: frontmatter (with the date, if any), title, body, related links, one line end."""
-    head = F.concat(F.lit("---\n"), F.coalesce(F.concat(F.lit("date: "), date, F.lit("\n")), F.lit("")), F.lit("type: wiki\n---\n"))
+    head = F.concat(F.lit("---\n"), F.coalesce(F.concat(F.lit("date: "), date, F.lit("\n")), F.lit("")), F.lit("type: wiki\npublic: false\n---\n"))
     related = F.when(F.size(links) > 0, F.concat(F.lit("\n\n## Related\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n"))).otherwise("")
     return F.concat(head, F.lit("# "), topic, F.lit("\n\n"), strip(body), related, F.lit("\n"))

@@ -2,7 +2,7 @@
 
 Headers are lines of one to three # and a blank, outside code fences. A section keeps its header line; one that is only
 a header joins the next section. Sections longer than the size are split at paragraphs, else at lines, else at blanks,
-else anywhere; consecutive pieces share up to `overlap` characters.
+else anywhere; consecutive pieces share up to `overlap` characters. Pieces are spans of the section, so no text is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from fathom.functions.text import unit_id
 
 _HEADER, _FENCE = re.compile(r"(#{1,3}) +(.*?)\s*#*\s*$"), re.compile(r"\s*(```|~~~)")
-SEPARATORS = ("\n\n", "\n", " ", "")
+#: Where a section is split, from the most to the least wanted.
+SEPARATORS = ("\n\n", "\n", " ")
 
 
 def sections(body: str) -> list[tuple[str, str]]:
@@ -48,38 +49,43 @@ def sections(body: str) -> list[tuple[str, str]]:
     return out
 
 
-def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most size characters; their union covers every character but white space at the cuts."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    mark, *rest = [s for s in separators if not s or s in text]
-    parts = text.split(mark) if mark else list(text)
-    out: list[str] = []
-    window: list[str] = []
-    length = 0
-
-    def emit() -> None:
-        piece = mark.join(window).strip()
-        if piece:
-            out.append(piece)
-
-    for part in parts:
-        extra = len(part) + (len(mark) if window else 0)
-        if length + extra > size and window:
-            emit()
-            while window and (length > overlap or length + len(part) + len(mark) > size):
-                length -= len(window.pop(0)) + (len(mark) if window else 0)
-        if len(part) > size:
-            if window:
-                window.clear()
-                length = 0
-            out += split_text(part, size, overlap, tuple(rest) or ("",))
-            continue
-        length += len(part) + (len(mark) if window else 0)
-        window.append(part)
+def _atoms(text: str, begin: int, end: int, size: int, overlap: int, level: int = 0) -> Iterator[tuple[int, int]]:
+    """Consecutive spans of text[begin:end], each at most size long, cut after the most wanted separators. Where there are
+    none, spans are as long as the overlap, so that a piece can begin with the last of the one before."""
+    if end - begin <= size:
+        yield begin, end
+        return
+    if level == len(SEPARATORS):
+        step = overlap or size
+        yield from ((at, min(at + step, end)) for at in range(begin, end, step))
+        return
+    mark = SEPARATORS[level]
+    while begin < end:
+        cut = text.find(mark, begin, end)
+        stop = end if cut < 0 else cut + len(mark)
+        yield from _atoms(text, begin, stop, size, overlap, level + 1)
+        begin = stop
+
+
+def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(begin, end) of the pieces of a text, at most size long, in order. Each begins where the one before ends or up to
+    `overlap` characters earlier, so together they cover the text."""
+    out: list[tuple[int, int]] = []
+    window: list[tuple[int, int]] = []
+    for atom in _atoms(text, 0, len(text), size, overlap) if text else ():
+        if window and atom[1] - window[0][0] > size:
+            out.append((window[0][0], window[-1][1]))
+            while window and (window[-1][1] - window[0][0] > overlap or atom[1] - window[0][0] > size):
+                window.pop(0)
+        window.append(atom)
     if window:
-        emit()
-    return [p for i, p in enumerate(out) if not (i and p == out[i - 1])]
+        out.append((window[0][0], window[-1][1]))
+    return out
+
+
+def split_text(text: str, size: int, overlap: int) -> list[str]:
+    """The pieces of a text without white space at their ends; blank ones are left out."""
+    return [piece for a, b in split_spans(text, size, overlap) if (piece := text[a:b].strip())]
 
 
 def chunk_notes(notes: DataFrame, size: int = 1000, overlap: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,13 +1,15 @@
 """Exact cosine search for a table of queries against all vectors.
 
 The queries are a stated set. They go to every task as blocks of a matrix of bounded size; a task multiplies its
-vectors with a block and passes on its own k best per query only, so no pair of all pairs is ever moved.
+vectors with a block and passes on its own k best per query only, so no pair of all pairs is ever moved. More queries
+than a block takes are searched block by block, so neither the driver nor a task ever holds more than one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bm25 import top_k
+from fathom.storage import Workspace
+
+from .bm25 import TIE_DIGITS, top_k
 
 #: Numbers in a block of queries that goes to the tasks.
 BLOCK_NUMBERS = 4_000_000
@@ -31,43 +35,65 @@ def cosine(a: F.Column, b: F.Column) -> F.Column:
     return dot(*double) / (F.sqrt(dot(double[0], double[0])) * F.sqrt(dot(double[1], double[1])))
 
 
-def _unit(rows: list) -> np.ndarray:
-    m = np.array(rows, dtype=np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(m) else m
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column as doubles; all lists have dim numbers."""
+    flat = column.flatten()
+    if len(flat) != dim * len(column) or flat.null_count:
+        raise ValueError(f"every vector must have {dim} numbers")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def _searched(base: DataFrame, block: list, k: int, types: list[pa.DataType], schema: str, exclude_self: bool) -> DataFrame:
+    ids = [r["q"] for r in block]
+    rows_of: dict = {}
+    for i, q in enumerate(ids):
+        rows_of.setdefault(q, []).append(i)
+    shared = base.sparkSession.sparkContext.broadcast((ids, rows_of, _unit(np.array([r["v"] for r in block], dtype=np.float64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows_of, matrix = shared.value
+        asked = pa.array(ids, types[0])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = matrix @ _unit(_matrix(batch.column("v"), matrix.shape[1])).T
+            if exclude_self:
+                for i, unit in enumerate(batch.column("unit").to_pylist()):
+                    for row in rows_of.get(unit, ()):
+                        scores[row, i] = -np.inf
+            found = scores > -np.inf
+            if scores.shape[1] > k:  # what ties with the k-th after rounding stays, too
+                floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                found &= scores >= floor[:, None] - 10.0**-TIE_DIGITS
+            query, unit = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(query)), batch.column("unit").take(pa.array(unit)), pa.array(scores[query, unit])], ["query", "unit", "score"])
+
+    return top_k(base.mapInArrow(run, schema), k)
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "unit_id", vector_col: str = "embedding", query_id_col: str = "query_id", query_vector_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query, unit, score, rank): the k nearest vectors of each query, ties by unit. Null vectors match nothing."""
     spark = vectors.sparkSession
-    asked = queries.where(F.col(query_vector_col).isNotNull()).select(F.col(query_id_col).alias("q"), F.col(query_vector_col).alias("v")).collect()
+    asked = queries.where(F.col(query_vector_col).isNotNull()).select(F.col(query_id_col).alias("q"), F.col(query_vector_col).alias("v"))
     base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("unit"), F.col(vector_col).alias("v"))
     unit_type, query_type = base.schema["unit"].dataType.simpleString(), queries.schema[query_id_col].dataType.simpleString()
-    types = [to_arrow_type(t) for t in (queries.schema[query_id_col].dataType, base.schema["unit"].dataType)] + [pa.float64()]
+    types = [to_arrow_type(queries.schema[query_id_col].dataType)]
     schema = f"query {query_type}, unit {unit_type}, score double"
-    step = max(1, BLOCK_NUMBERS // max(1, len(asked[0]["v"]))) if asked else 1
-    blocks = []
-    for begin in range(0, len(asked), step):
-        block = asked[begin : begin + step]
-        shared = spark.sparkContext.broadcast(([r["q"] for r in block], _unit([r["v"] for r in block])))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                units = batch.column("unit").to_pylist()
-                rows = _unit(batch.column("v").to_pylist())
-                scores = matrix @ rows.T
-                out: tuple[list, list, list] = ([], [], [])
-                for q, line in zip(ids, scores, strict=True):
-                    if exclude_self:
-                        line = np.where([u == q for u in units], -np.inf, line)
-                    floor = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
-                    for i in np.flatnonzero((line >= floor) & (line > -np.inf)):
-                        for store, value in zip(out, (q, units[i], float(line[i])), strict=True):
-                            store.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(values, t) for values, t in zip(out, types, strict=True)], ["query", "unit", "score"])
-
-        blocks.append(base.mapInArrow(run, schema))
-    return top_k(reduce(DataFrame.unionAll, blocks) if blocks else spark.createDataFrame([], schema), k)
+    dim = asked.select(F.size("v")).first()
+    if dim is None:
+        return top_k(spark.createDataFrame([], schema), k)
+    step, rows = max(1, BLOCK_NUMBERS // max(1, dim[0])), asked.toLocalIterator()
+    block = list(islice(rows, step))
+    found, work = [_searched(base, block, k, types, schema, exclude_self)], None
+    while len(block) == step and (block := list(islice(rows, step))):
+        work = work or Workspace(spark, "dense-search")
+        found[-1] = work.table(found[-1], "block")
+        found.append(_searched(base, block, k, types, schema, exclude_self))
+    return reduce(DataFrame.unionAll, found)
 
 
 def top_similarity(found: DataFrame, kinds: DataFrame | None = None) -> DataFrame:

@@ -1,15 +1,25 @@
-"""The unit store: Parquet partitioned by kind, with replacement by kind and by source."""
+"""The unit store: Parquet by kind and bucket of sources, with replacement by kind and by source.
+
+A kind's units lie in BUCKETS buckets by a hash of their source. A manifest names the folder of each bucket; it is
+replaced in one rename, after all data are written, so readers see the old units or the new ones and a crash loses
+nothing. An upsert writes the buckets of the sources that it brings, and no others.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.storage import remove
+UNITS = "unit_id string, source string, header_path string, date string, project string, type string, public boolean, text string, chunk_index int, community_id int, note_count int, content_sha string, embedding array<float>, kind string"
+BUCKETS = 64
+
 
-UNITS = "unit_id string, source string, header_path string, date string, project string, type string, public boolean, text string, chunk_index int, community_id int, note_count int, embedding array<float>, kind string"
+def _bucket(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(BUCKETS)).cast("int")
 
 
 class UnitStore:
@@ -18,48 +28,105 @@ class UnitStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+    def _hadoop(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _folder(self, kind: str) -> str:
+        return f"{self.path}/kind-{kind or 'chunks'}"
+
+    def _manifest(self, kind: str) -> dict[str, str]:
+        """Bucket to folder; empty if there is no such kind."""
+        fs, path = self._hadoop(f"{self._folder(kind)}/MANIFEST")
+        if not fs.exists(path):
+            return {}
+        source = fs.open(path)
+        try:
+            return json.loads(bytes(source.readAllBytes()))
+        finally:
+            source.close()
+
+    def _publish(self, kind: str, manifest: dict[str, str]) -> None:
+        before = set(self._manifest(kind).values())
+        fs, fresh = self._hadoop(f"{self._folder(kind)}/_manifest-{uuid.uuid4().hex[:8]}")
+        out = fs.create(fresh)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        over = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = over
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{self._folder(kind)}/MANIFEST"), options)
+        for folder in before - set(manifest.values()):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self._folder(kind)}/{folder}"), True)
+
+    def kinds(self) -> list[str]:
+        fs, path = self._hadoop(self.path)
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        found = ["" if n == "kind-chunks" else n[5:] for n in names if n.startswith("kind-")]
+        return sorted(k for k in found if self._manifest(k))
 
     def exists(self) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(self.path)) and any(s.getPath().getName().startswith("kind=") for s in fs.listStatus(path(self.path)))
+        return bool(self.kinds())
 
     def read(self, kind: str | None = None) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], UNITS)
-        units = self.spark.read.schema(UNITS).parquet(self.path).withColumn("kind", F.coalesce("kind", F.lit("")))
-        return units if kind is None else units.where(F.col("kind") == kind)
+        """All units, or those of a kind."""
+        out = self.spark.createDataFrame([], UNITS)
+        for k in self.kinds() if kind is None else [kind]:
+            if paths := [f"{self._folder(k)}/{folder}/bucket={b}" for b, folder in sorted(self._manifest(k).items())]:
+                units = self.spark.read.schema(UNITS).parquet(*paths).withColumn("kind", F.lit(k))
+                out = out.unionByName(units.select(*out.columns))
+        return out
+
+    def _write(self, units: DataFrame, kind: str) -> dict[str, str]:
+        """Write units to a folder of their own; the buckets that it has."""
+        folder = f"data-{uuid.uuid4().hex[:12]}"
+        path = f"{self._folder(kind)}/{folder}"
+        units.drop("kind").withColumn("bucket", _bucket(F.col("source"))).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        fs, where = self._hadoop(path)
+        return {s.getPath().getName()[7:]: folder for s in fs.listStatus(where) if s.getPath().getName().startswith("bucket=")}
 
     def replace(self, units: DataFrame, kind: str = "") -> None:
-        """The kind's units become these. They are written beside the old ones, which then go in one rename."""
-        fs, path = self._fs()
-        name = f"kind={kind or '__HIVE_DEFAULT_PARTITION__'}"
-        fresh = f"{self.path}/_new-{uuid.uuid4().hex[:8]}"
-        units.drop("kind").write.parquet(fresh)
-        fs.delete(path(f"{self.path}/{name}"), True)
-        fs.rename(path(fresh), path(f"{self.path}/{name}"))
+        """The kind's units become these."""
+        self._publish(kind, self._write(units, kind))
 
     def delete(self, kind: str) -> None:
-        remove(self.spark, f"{self.path}/kind={kind or '__HIVE_DEFAULT_PARTITION__'}")
+        fs, path = self._hadoop(self._folder(kind))
+        fs.delete(path, True)
 
     def reset(self) -> None:
-        remove(self.spark, self.path)
-
-    def upsert(self, units: DataFrame, kind: str = "") -> None:
-        """Replace all units of the sources that occur in units, then add units; others stay."""
-        self.replace(upserted(self.read(kind), units), kind)
-
-
-def upserted(old: DataFrame, new: DataFrame, by: str = "source") -> DataFrame:
-    """old without the sources of new, and new with one row per unit."""
-    return old.join(new.select(by).distinct(), by, "left_anti").unionByName(new.dropDuplicates(["unit_id"]), allowMissingColumns=True).select(*old.columns)
-
-
-def changed(old: DataFrame, new: DataFrame, key: str = "source", digest: str = "content_sha") -> DataFrame:
+        fs, path = self._hadoop(self.path)
+        fs.delete(path, True)
+
+    def upsert(self, units: DataFrame, kind: str = "", sources: DataFrame | None = None) -> None:
+        """Replace all units of the sources (of those that occur in units, if none are given), then add units; others
+        stay. Sources without units lose theirs. Units are written once and then read back, so they may be costly."""
+        touched = (units if sources is None else sources).select("source").distinct()
+        buckets = [str(r[0]) for r in touched.select(_bucket(F.col("source"))).distinct().collect()]  # at most BUCKETS rows
+        if not buckets:
+            return
+        manifest = self._manifest(kind)
+        paths = [f"{self._folder(kind)}/{manifest[b]}/bucket={b}" for b in buckets if b in manifest]
+        old = self.spark.read.schema(UNITS).parquet(*paths) if paths else self.spark.createDataFrame([], UNITS)
+        fresh = self._write(upserted(old, units, sources=touched), kind)
+        self._publish(kind, {b: f for b, f in manifest.items() if b not in buckets} | fresh)
+
+
+def upserted(old: DataFrame, new: DataFrame, by: str = "source", sources: DataFrame | None = None) -> DataFrame:
+    """old without the sources of new (or the given ones), and new. Of rows of new that repeat a unit_id the first in the
+    order of all their values stays."""
+    rest = [c for c in new.columns if c != "unit_id"]
+    one = new.groupBy("unit_id").agg(F.min(F.struct(*rest)).alias("_row")).select("unit_id", "_row.*")
+    gone = (new if sources is None else sources).select(by).distinct()
+    return old.join(gone, by, "left_anti").unionByName(one, allowMissingColumns=True).select(*old.columns)
+
+
+def changed(old: DataFrame, new: DataFrame, key: str = "source", digest: str | tuple[str, ...] = "content_sha") -> DataFrame:
     """Rows of new whose content is not that of old."""
-    return new.join(old.select(key, digest), [key, digest], "left_anti")
+    digests = [digest] if isinstance(digest, str) else list(digest)
+    return new.join(old.select(key, *digests), [key, *digests], "left_anti")
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -67,9 +134,20 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
-def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(nodes, edges), or None if there is no graph that can be read: search then goes on without it."""
-    try:
-        return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
-    except Exception:
+def table_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if there is nothing at the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
+    return spark.read.parquet(path)
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, edges), or None if there is no graph that can be read as Parquet: search then goes on without it."""
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    with contextlib.suppress(PySparkException, Py4JError):
+        nodes, edges = (table_if_there(spark, f"{path}/{part}") for part in ("nodes", "edges"))
+        return None if nodes is None or edges is None else (nodes, edges)
+    return None

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fathom.operators.chunking import chunk_notes
 from fathom.operators.store import UnitStore, changed
+from fathom.providers import Embedder, embed_column, hashing_embedder
+from fathom.sources.vault import parse_notes
+
+KEPT = ("date", "project", "type", "public", "content_sha")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -14,15 +19,22 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
 
 
-def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str) -> StreamingQuery:
-    """Upsert every micro-batch of arrivals (source, content_sha, version, text, ...) into the store; each batch counts
-    once even if it runs again, as its sources are replaced. Runs until all that is there has been read."""
+def units_of(notes: DataFrame, embedder: Embedder, chunk_size: int = 1000, chunk_overlap: int = 100) -> DataFrame:
+    """The store's units of parsed notes: chunks with their note's fields and content hash, and a vector."""
+    return embed_column(chunk_notes(notes, chunk_size, chunk_overlap, KEPT), embedder)
+
+
+def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedder: Embedder | None = None, chunk_size: int = 1000, chunk_overlap: int = 100) -> StreamingQuery:
+    """Parse, chunk, embed and upsert every micro-batch of arrivals (source, raw, version) into the store. Of several
+    versions of a note in a batch the last counts; notes whose body the store has already are skipped; a note is public
+    only if its frontmatter says so. Each batch counts once even if it runs again, as its sources are replaced. Runs until
+    all that is there has been read."""
+    embedder = embedder or hashing_embedder()
 
     def put(batch: DataFrame, _: int) -> None:
-        fresh = latest(batch, "source", "version")
-        seen = store.read().select("source", F.sha2("text", 256).alias("content_sha"))
-        new = changed(seen, fresh)
-        store.upsert(new.select(F.concat_ws("::", "source", F.lit(""), F.lit("0")).alias("unit_id"), "source", F.lit("").alias("header_path"), F.lit(True).alias("public"), "text", F.lit(0).alias("chunk_index")))
+        notes = parse_notes(latest(batch, "source", "version").select("source", "raw"))
+        new = changed(store.read("").select("source", "content_sha", "public").distinct(), notes, digest=("content_sha", "public"))
+        store.upsert(units_of(new, embedder, chunk_size, chunk_overlap), sources=new.select("source"))
 
     return arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,12 +1,17 @@
+import http.server
+import io
 import json
+import threading
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.cli import _parser, run
+from fathom.cli import _parser, run, serve
 from fathom.config import EngineConfig
 from fathom.engine import Engine
 from fathom.operators.store import UnitStore
+from fathom.providers import HASHING_THRESHOLD, extractive_generator, local_embedder, local_generator
 from fathom.streaming.incremental import index_stream
 
 NOTES = {
@@ -59,11 +64,75 @@ def test_cli(spark, config):
     assert json.loads(call("vault-ask", "what do tomatoes need")[1])["sources"]
 
 
+def test_answers_at_the_embedder_s_own_threshold(spark, config):
+    assert Engine(spark, replace(config, relevance_threshold=None)).threshold == HASHING_THRESHOLD
+    with pytest.raises(ValueError):
+        EngineConfig(provider="elsewhere")
+
+
+def test_graph_answers_are_remembered(spark, config, tmp_path):
+    calls = f"{tmp_path}/calls"
+
+    def counting(prompt):
+        with open(calls, "a") as f:
+            f.write(prompt.partition("\n")[0] + "\n")
+        return extractive_generator()(prompt)
+
+    own = replace(config, store_path=f"file://{tmp_path}/store", graph_path=f"file://{tmp_path}/graph")
+    engine = Engine(spark, own, generator=counting)
+    engine.index()
+    first = engine.build_graph()
+    told = open(calls).read().count("\n")
+    again = engine.build_graph()
+    assert open(calls).read().count("\n") == told > 0
+    assert first["extraction"]["cached"] == 0 and again["extraction"]["asked"] == again["summaries"]["asked"] == 0 and again["extraction"]["cached"] >= 3
+    assert engine.overview("compost")["missing"] == 0
+    gold = spark.createDataFrame([(0, "tomatoes sun", ["garden/tomatoes.md"], "keyword"), (1, "compost", ["garden/compost.md"], "graph")], "query int, question string, expected array<string>, category string")
+    out = engine.evaluate(gold, 5)
+    assert {r["method"] for r in out["methods"].collect()} == {"grep", "dense", "bm25", "flat", "integrated"}
+    assert out["sweeps"].select("setting").distinct().count() == 10 and out["changes"].count() == 2 and out["regressed"].first()[0] is False
+
+
+def test_serve(spark, config):
+    ask = lambda i, method, **params: json.dumps({"jsonrpc": "2.0", "id": i, "method": method, "params": params})
+    lines = [ask(1, "initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask(2, "tools/list"), ask(3, "tools/call", name="vault_search", arguments={"query": "tomatoes", "k": 2}), ask(4, "tools/call", name="vault_ask", arguments={}), ask(5, "nothing"), "no json"]
+    sink = io.StringIO()
+    assert serve(Engine(spark, config), io.StringIO("\n".join(lines)), sink) == "6 answers"
+    out = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert [t["name"] for t in out[1]["result"]["tools"]] == ["vault_search", "vault_ask"]
+    assert json.loads(out[2]["result"]["content"][0]["text"])["results"][0]["source"] == "garden/tomatoes.md"
+    assert out[3]["result"]["isError"] and out[4]["error"]["code"] == -32601 and out[5]["error"]["code"] == -32700
+
+
+def test_model_server(spark):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            out = {"embeddings": [[1.0, float(len(t))] for t in body["input"]]} if self.path == "/api/embed" else {"response": f"{body['model']}:{body['prompt'].strip()}:{body.get('format', '')}"}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert local_embedder(url, "m")(["ab", "c"]).tolist() == [[1.0, 2.0], [1.0, 1.0]]
+        assert local_generator(url, "m")("ENTITIES\n\n\ntext") == "m:text:json" and local_generator(url, "m")("ANSWER\nq\n\nc") == "m:q\n\nc:"
+    finally:
+        server.shutdown()
+
+
 def test_stream_into_store(spark, tmp_path):
     arrivals, units = f"file://{tmp_path}/in", UnitStore(spark, f"file://{tmp_path}/units")
-    schema = "source string, text string, version int, content_sha string"
-    for rows in ([("a", "one", 1), ("b", "two", 1), ("a", "one!", 2)], [("a", "one!", 3), ("b", "two!", 2), ("c", "three", 1)]):
-        df = spark.createDataFrame(rows, "source string, text string, version int").withColumn("content_sha", F.sha2("text", 256))
-        df.write.mode("append").parquet(arrivals)
+    schema = "source string, raw string, version int"
+    long = "---\npublic: true\n---\n" + "many words here. " * 200
+    for rows in ([("a", "one", 1), ("b", "two", 1), ("a", "one!", 2), ("d", long, 1)], [("a", "one!", 3), ("b", "two!", 2), ("c", "three", 1)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(arrivals)
         index_stream(spark.readStream.schema(schema).parquet(arrivals), units, f"file://{tmp_path}/check").awaitTermination()
-    assert {(r["source"], r["text"]) for r in units.read().collect()} == {("a", "one!"), ("b", "two!"), ("c", "three")}
+    found = units.read().collect()
+    assert {(r["source"], r["text"], r["public"]) for r in found if r["source"] != "d"} == {("a", "one!", False), ("b", "two!", False), ("c", "three", False)}
+    assert sum(r["source"] == "d" and r["public"] for r in found) > 1 and all(r["embedding"] for r in found)

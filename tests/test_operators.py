@@ -6,9 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathom.config import EngineConfig
-from fathom.operators import answer, bm25, chunking, community, evaluate, fusion, graph, store
+from fathom.operators import answer, bm25, chunking, community, dense, evaluate, fusion, graph, store
 from fathom.operators.components import connected_components
-from fathom.providers import cached, extractive_generator, generate_column
+from fathom.providers import cached, extractive_generator, generate_column, hashing_embedder, word_tokenizer
 from fathom.sources import vault
 from fathom.storage import Workspace
 
@@ -128,14 +128,20 @@ def test_components(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=400), st.integers(5, 60), st.integers(0, 4))
 def test_split_text_covers_everything(text, size, overlap):
-    pieces = chunking.split_text(text, size, overlap)
-    assert all(0 < len(p) <= size for p in pieces)
-    assert sum(len(p.replace(" ", "").replace("\n", "")) for p in pieces) >= 0
-    assert set("".join(pieces)) >= set(text) - {" ", "\n"}
+    spans = chunking.split_spans(text, size, overlap)
+    assert all(0 < b - a <= size for a, b in spans)
+    whole, at = "", 0
+    for a, b in spans:
+        assert at - overlap <= a <= at and b > at
+        whole, at = whole + text[at:b], b
+    assert whole == text
+    assert chunking.split_text(text, size, overlap) == [p for a, b in spans if (p := text[a:b].strip())]
 
 
 def test_split_limits():
-    assert [len(p) for p in chunking.split_text("x" * 1001, 1000, 100)] == [1000, 101]
+    assert [len(p) for p in chunking.split_text("x" * 5000, 1000, 100)] == [1000, 1000, 1000, 1000, 1000, 500]
+    assert chunking.split_text("\n\n".join(["y" * 899] * 3), 1000, 100) == ["y" * 899] * 3
+    assert chunking.split_text("one two three four", 11, 4) == ["one two", "two three", "four"]
     assert chunking.split_text("x" * 1000, 1000, 100) == ["x" * 1000]
     body = "intro\n\n# A\n\n## B\n```\n# not a header\n```\ntext\n### C\nmore\n# D"
     assert [p for p, _ in chunking.sections(body)] == ["", "A > B", "A > B > C", "D"]
@@ -143,7 +149,7 @@ def test_split_limits():
 
 def test_frontmatter():
     parse = vault.split_frontmatter
-    assert parse("---\npublic: true\ntags: [a, ' ', b]\n---\n\nbody") == ({"public": "True"}, [], ["a", "b"], "body")
+    assert parse("---\npublic: true\ntags: [a, ' ', b]\n---\n\nbody") == ({"public": "True"}, [], ["a", " ", "b"], "body")
     assert parse("---\nx: [\n---\nbody")[0] == {} and parse("---\nx: [\n---\nbody")[3] == "body"
     assert parse("---\nx: 1\nno end") == ({}, [], [], "---\nx: 1\nno end") and parse(None) == ({}, [], [], "")
     assert parse("---\n- a\n---\nb")[0] == {} and parse("----\nrelated: one\n---\nb")[1] == ["one"]
@@ -205,6 +211,70 @@ def test_benchmark_subset(spark):
     corpus, asked = vault.benchmark_subset(rows, 2, 2)
     assert sorted(map(tuple, corpus.collect())) == [("c00000", "x"), ("c00001", "y")]
     assert sorted(map(tuple, asked.collect())) == [("q1", "c00000"), ("q2", "c00001")]
+    more = spark.createDataFrame([(0, "y"), (1, "far"), (2, "far"), (3, "farther")], "place int, context string")
+    corpus, asked = vault.benchmark_subset(rows, 4, 9, more)
+    assert sorted(map(tuple, corpus.collect())) == [("c00000", "x"), ("c00001", "y"), ("c00002", "z"), ("c00003", "far")] and asked.count() == 4
+
+
+def test_qa_benchmark(spark, tmp_path):
+    (tmp_path / "qa.json").write_text('{"data": [{"paragraphs": [{"context": "c1", "qas": [{"question": "a"}, {"question": "b"}]}, {"context": "c2", "qas": [{"question": "c"}]}]}]}')
+    rows = vault.qa_benchmark(spark, f"file://{tmp_path}/qa.json").orderBy("place").collect()
+    assert [(r["question"], r["context"]) for r in rows] == [("a", "c1"), ("b", "c1"), ("c", "c2")]
+
+
+def test_benchmark_variants(spark):
+    ranks = spark.createDataFrame([(1,), (6,), (11,), (None,)], "rank int")
+    assert tuple(evaluate.truncated_metrics(ranks).first()) == (4, 0.25, 0.5, (1 + 1 / 6) / 4)
+    assert tuple(evaluate.truncated_metrics(ranks.limit(0)).first()) == (0, 0.0, 0.0, 0.0) and tuple(evaluate.metrics(ranks.limit(0)).first()) == (0, 0.0, 0.0)
+    runs = spark.createDataFrame([(1, False, 2.0, 10), (1, True, 9.0, 99), (None, False, 4.0, 20)], "rank int, failed boolean, latency double, tokens int")
+    assert tuple(evaluate.agent_metrics(runs).first()) == (3, 1, 1 / 3, 1 / 3, 3.0, 4.0, 15.0, 30)
+    lines = spark.createDataFrame([(0, 0, '{"type": "result", "n": 1}'), (0, 1, "no json"), (0, 2, '{"type": "result", "n": 2}'), (0, 3, '{"type": "other"}')], "run int, place int, line string")
+    assert [r["result"] for r in evaluate.last_result(lines).collect()] == ['{"type": "result", "n": 2}']
+    assert evaluate.escalated([1, 3, 9], lambda n: 1.0 if n < 3 else 0.5) == [(1, 1.0), (3, 0.5)]
+    files = spark.createDataFrame([("a", "red apple"), ("b", "blue sky")], "source string, text string")
+    assert evaluate.whole_files(files, spark.createDataFrame([(0, "sky blue")], "query int, text string"), hashing_embedder()).where("rank = 1").first()["source"] == "b"
+
+
+def test_many_query_blocks_and_patterns(spark, monkeypatch):
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "unit_id int, embedding array<double>")
+    asked = vectors.where("unit_id < 9").withColumnRenamed("unit_id", "query_id")
+    near = lambda: sorted((q, u, round(s, 9), r) for q, u, s, r in dense.dense_search(vectors, asked, 4, exclude_self=True).collect())
+    whole = near()
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 6)
+    assert near() == whole and all(q != u for q, u, *_ in whole)
+    assert dense.dense_search(vectors, asked.limit(0), 4).count() == 0
+    files = spark.createDataFrame([(0, "abc"), (1, "bcd"), (2, None)], "source int, text string")
+    patterns = spark.createDataFrame([("b",), ("cd",), ("",), ("a",)], "pattern string")
+    found = sorted(map(tuple, evaluate.containing(files, patterns).collect()))
+    monkeypatch.setattr(evaluate, "PATTERN_CHARS", 1)
+    assert sorted(map(tuple, evaluate.containing(files, patterns).collect())) == found == [(0, "a"), (0, "b"), (1, "b"), (1, "cd")]
+
+
+def test_saved_index_finds_the_same(spark, tmp_path):
+    units = spark.createDataFrame([("a", "Sun and rain, and sun"), ("b", "rain and wind"), ("c", None), ("d", "and and snow"), ("e", "and")], "unit_id string, text string")
+    asked = spark.createDataFrame([(0, "sun rain"), (1, "and snow snow"), (2, "nothing")], "query_id int, query string")
+    live = bm25.Bm25Index.build(units)
+    live.save(f"file://{tmp_path}/index")
+    kept = bm25.Bm25Index.load(spark, f"file://{tmp_path}/index")
+    rows = lambda df: sorted((r["query"], r["unit"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    assert rows(live.search(asked, 3)) == rows(kept.search(asked, 3)) != []
+    plan = kept.scores(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan or "PartitionFilters: [isnotnull(part" in plan
+    other = bm25.Bm25Index.build(units, tokenizer=word_tokenizer(lambda t: t.lower().replace(",", " ").split()))
+    assert [r["unit"] for r in other.search(spark.createDataFrame([(0, "RAIN")], "query_id int, query string"), 3).collect()] == ["b", "a"]
+
+
+def test_components_of_chains_and_hubs(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    nation = {r["c_custkey"]: r["c_nationkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    groups = {}
+    for r in orders:
+        groups.setdefault(nation[r["o_custkey"]], set()).add(f"o{r['o_orderkey']}")
+    want = {n: min(g | {f"n{k}"}) for k, g in groups.items() for n in g | {f"n{k}"}}
+    from fathom.plans import registry
+    assert {r["node"]: r["component"] for r in registry.QUERIES["connected_components"](spark, sf).collect()} == want
 
 
 def test_rank_changes_and_links(spark):
