@@ -371,18 +371,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sweep(spark)
 
     near = connected_components(links, work)
-    node = classes.select("id", "rep").join(near.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("id", "rep", F.coalesce("comp", "rep").alias("comp"))
-    held = work.table(shared.select("sig", "id").join(node, "id").select("sig", F.col("rep").alias("id"), "comp"), "held")
+    node = classes.join(near.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("id", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    held = work.table(shared.select("sig", "id").join(node, "id").select("sig", F.col("rep").alias("id"), "n", "comp"), "held")
     mixed = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
     mixed = work.table(mixed.select("sig", "size"), "mixed-signatures")
     rows = work.table(may_match(held, "sig", mixed, "sig").distinct().join(mixed, "sig"), "mixed")
 
-    both = "flatten(transform(held, x -> transform(filter(held, y -> y.comp > x.comp), y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))"
-    listed = rows.where(F.col("size") <= FEW).groupBy("sig").agg(F.collect_list(F.struct("comp", "id")).alias("held"))
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"  # sets of other sizes are surely too different
+    both = f"flatten(transform(held, x -> transform(filter(held, y -> y.comp > x.comp AND {fits}), y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))"
+    listed = rows.where(F.col("size") <= FEW).groupBy("sig").agg(F.collect_list(F.struct("comp", "id", "n")).alias("held"))
     listed = work.table(listed.select(F.explode(F.expr(both)).alias("p")).select("p.a", "p.b").distinct(), "listed")
     listed = sketched(sketched(listed, "a", "na", "sa"), "b", "nb", "sb")
     links = links.unionAll(verified(listed.mapInArrow(_plausible(percent), "a long, b long").distinct(), "listed"))
-    rows = rows.where(F.col("size") > FEW)
+    rows = rows.where(F.col("size") > FEW).drop("n").distinct()
     sweep(spark)
 
     def tiled(rows: DataFrame, size: str, tile: int) -> DataFrame:
