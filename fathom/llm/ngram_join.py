@@ -9,7 +9,7 @@
    one with the most common signatures). That is linear and joins most of what belongs together. An eighth of the
    signatures of larger sets serve to find it; what is missed here is found below.
 4. What is left are signatures whose holders are still of several components. Where there are FEW holders, the pairs
-   across components are listed, each once for all its signatures, ruled out by one-byte sketches if they are surely too
+   across components are listed, each once for all its signatures, ruled out by sketches if they are surely too
    different, and else checked by their shingles. The list grows with the signatures and not with any square.
 5. Signatures of more holders: there all pairs across components are compared in tiles of bounded size by sketches.
    Components with a pair that passes become one family (of a tile's pairs only those are passed on that connect it).
@@ -183,7 +183,7 @@ def _close(scheme: PartEnum, na: int, nb: int, sa: bytes, sb: bytes) -> bool:
     for i in set(scheme.instances(na)) & set(scheme.instances(nb)):
         x = np.frombuffer(sa, dtype=np.uint8)[scheme.part_of_sketch(na, i)]
         y = np.frombuffer(sb, dtype=np.uint8)[scheme.part_of_sketch(nb, i)]
-        return np.count_nonzero(x != y) <= scheme.allowed(na, nb)
+        return scheme.differing(x, y) <= scheme.allowed(na, nb)
     return False
 
 
@@ -255,7 +255,7 @@ def _across(percent: int):
                 for i in range(len(comps) - 1):
                     others = _may_link(rows, roots, i, percent)
                     if len(others):
-                        differing = np.count_nonzero(sketches[others] != sketches[i], axis=1)
+                        differing = scheme.differing(sketches[others], sketches[i])
                         close = others[differing <= (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)]
                         found |= {(min(comps[i], comps[j]), max(comps[i], comps[j])) for j in _join_roots(roots, i, close)} if len(close) else set()
             found -= seen

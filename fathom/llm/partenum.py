@@ -84,19 +84,26 @@ class PartEnum:
         return np.array([(j << 64) // n for j in range(1, n)], dtype=np.uint64)
 
     def _of_sketch(self, instance: int) -> int:
-        return len(self._halves(instance)) + 1
+        return (len(self._halves(instance)) + 1) // 2
 
     def sketch(self, features: np.ndarray) -> bytes:
-        """One byte for each of twice as many ranges as features may differ, for each instance that the set signs. Sets
-        that differ in d features differ in at most d of these bytes, so more differing bytes rule a pair out."""
+        """Four bits for each of twice as many ranges as features may differ, two ranges in a byte, for each instance that
+        the set signs. Sets that differ in d features differ in at most d of these, so more of them rule a pair out."""
         out = []
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix64(features + np.uint64(0x2545F4914F6CDD1D)))))
             for i in self.instances(len(features)):
                 cuts = np.concatenate(([0], np.searchsorted(features, self._halves(i)), [len(features)]))
-                out.append((mix64(sums[cuts[1:]] - sums[cuts[:-1]]) >> np.uint64(56)).astype(np.uint8))
+                codes = (mix64(sums[cuts[1:]] - sums[cuts[:-1]]) >> np.uint64(60)).astype(np.uint8)
+                out.append(codes[::2] << 4 | codes[1::2])
         return np.concatenate(out).tobytes() if out else b""
 
+    @staticmethod
+    def differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """In how many ranges parts of sketches differ, along the last axis."""
+        both = one ^ two
+        return np.count_nonzero(both & 15, axis=-1) + np.count_nonzero(both >> 4, axis=-1)
+
     def part_of_sketch(self, size: int, instance: int) -> slice:
         """Where a set's sketch has the bytes of an instance."""
         begin = 0
@@ -128,5 +135,5 @@ class PartEnum:
                     order = np.lexsort((codes, held[subsets].sum(axis=1)))
                     codes = codes[order[spare:]]
                 out.append(codes)
-                of.append(np.full(len(codes), i, dtype=np.uint8))
-        return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8))
+                of.append(np.full(len(codes), i, dtype=np.int32))
+        return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
