@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokenize
+from fathom.storage import Workspace
 
 Tokenizer = Callable[[Column], Column]
 TIE_DIGITS = 9
@@ -120,6 +121,7 @@ class Bm25Index:
             df = self._pruned(self.stored[1], names).select("token", "df")
             df = df if names is not None else df.join(tokens, "token", "left_semi")
         else:
+            found = Workspace(queries.sparkSession, "bm25").table(found, "postings")  # read three times below
             df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         mean = self.mean_weight
         if mean is None and not df.where(F.col("df") > (self.n_units - 0.5) / 2).isEmpty():
