@@ -11,18 +11,25 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from fathom.storage import Workspace
 
 from .batches import kept_rows, slices
 
-#: Bytes of item texts that one index takes; what is sent to the tasks is a small multiple of it.
+#: Bytes of item texts that one index takes; what is sent to the tasks is a small multiple of it. More items are read in
+#: blocks, one pass over the documents for each.
 MOST_ITEM_BYTES = 64 << 20
 
+Items = list[tuple[object, str | None]]
+
 #: A-Z to a-z; every ASCII character but letters and digits to a blank. Others are parts of words.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -79,7 +86,7 @@ class WindowIndex:
     Items without words have no window. Its size is a small multiple of the number of item words.
     """
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = 13):
+    def __init__(self, items: Items, width: int = 13):
         self.width, self.vocabulary, by_words = width, {}, {}
         for item, text in items:
             words = words_of(text)
@@ -162,32 +169,80 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     comma-joined (of the empty string if none). Null and blank texts have no words. Items with equal words all count;
     rows that repeat an item id count once. An empty benchmark hits nothing. Null item ids count as the text "None".
     """
-    index = _broadcast(docs, benchmark, item_col, item_text_col, width)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = _judged(rows, _blocks(benchmark, item_col, item_text_col), width, percent, cleaned)
+    return found.toDF(id_col, *found.columns[1:])
+
+
+def _judged(rows: DataFrame, blocks: Iterator[Items], width: int, percent: int, cleaned: bool = False) -> DataFrame:
+    """decontaminate for rows (id, text). Of several blocks of items each marks the words that it hits in a pass of its
+    own, and the last pass judges what all have marked; so a word that two blocks hit counts once."""
+    spark, work = rows.sparkSession, None
+    kind, block = rows.schema["id"].dataType, next(blocks, [])
+    while True:
+        later = next(blocks, None)
+        index = spark.sparkContext.broadcast(WindowIndex(block, width))
+        if later is None:
+            schema = StructType().add("id", kind).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+            return rows.mapInArrow(_judge(index, percent, cleaned), schema.add("cleaned", "string") if cleaned else schema)
+        schema = StructType().add("id", kind).add("text", "string").add("hits", "binary").add("names", ArrayType(StringType()))
+        before, work = work, Workspace(spark, "decontaminate")
+        rows = work.table(rows.mapInArrow(_mark(index), schema), "marked")
+        if before is not None:
+            before.remove()
+        index.unpersist()
+        block = later
+
+
+def _scanned(index: Broadcast, batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray, list[str]]]:
+    """Of each text: itself, which of its words are hit, and the ids of the items found, with what earlier blocks marked."""
+    found_by, texts = index.value, batch.column("text").to_pylist()
+    again = "hits" in batch.schema.names
+    before = zip(batch.column("hits").to_pylist(), batch.column("names").to_pylist(), strict=True) if again else ((b"", ()) for _ in texts)
+    for text, (hits, names) in zip(texts, before, strict=True):
+        words = words_of(text)
+        hit, numbers = found_by.scan(words)
+        if again:
+            hit |= np.unpackbits(np.frombuffer(hits, dtype=np.uint8), count=len(words)).astype(bool)
+        yield text, hit, sorted({name for i in numbers for name in found_by.items[i]}.union(names))
+
+
+def _mark(index: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = [(np.packbits(hit).tobytes(), names) for _, hit, names in _scanned(index, batch)]
+            marks = pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *marks], ["id", "text", "hits", "names"])
+
+    return run
+
+
+def _judge(index: Broadcast, percent: int, cleaned: bool):
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "cleaned": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_by = index.value
+        wanted = list(kinds)[: 5 + cleaned]
         for batch in slices(batches, "text"):
             rows = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                hit, numbers = found_by.scan(words)
-                names = sorted({name for i in numbers for name in found_by.items[i]})
+            for text, hit, names in _scanned(index, batch):
                 n_hit = int(hit.sum())
-                dirty = _is_contaminated(n_hit, len(words), percent)
-                row = [len(words), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), dirty]
+                dirty = _is_contaminated(n_hit, len(hit), percent)
+                row = [len(hit), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), dirty]
                 rows.append([*row, remove_spans(text, hit) if dirty else text] if cleaned else row)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())[: 5 + cleaned]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names_out)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(wanted))], ["id", *wanted])
 
-    names_out = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["cleaned"] * cleaned]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", cleaned string" * cleaned)
+    return run
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, percent: int = 5) -> DataFrame:
     """The rows of docs, whole and unchanged, that are not contaminated (see decontaminate)."""
-    index = _broadcast(docs, benchmark, item_col, item_text_col, width)
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+        rows = named.select(F.struct(*named.columns).alias("id"), F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("text"))
+        return _judged(rows, chain([first, second], blocks), width, percent).where("not contaminated").select("id.*").toDF(*docs.columns)
+    index = docs.sparkSession.sparkContext.broadcast(WindowIndex(first, width))
 
     def wanted():
         found_by = index.value
@@ -208,10 +263,19 @@ def _is_contaminated(n_hit: int, n_words: int, percent: int) -> bool:
     return n_hit > 0 and 100 * n_hit >= percent * n_words
 
 
-def _broadcast(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, width: int) -> Broadcast:
-    """The items' index for all tasks. What is collected is checked first: a benchmark is a test set, not a corpus."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Items]:
+    """The items in blocks of MOST_ITEM_BYTES of text at most (or of one item that is longer): mostly a single block.
+    Their size is known before any is collected, and the driver holds two blocks at a time."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"the items have {size} bytes, more than {MOST_ITEM_BYTES}; split the benchmark and unite the results")
-    return docs.sparkSession.sparkContext.broadcast(WindowIndex([(r["item"], r["text"]) for r in items.collect()], width))
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= MOST_ITEM_BYTES:
+        yield [(r["item"], r["text"]) for r in items.collect()]
+        return
+    block, held = [], 0
+    for row in items.toLocalIterator():
+        size = len((row["text"] or "").encode("utf-8", "surrogatepass"))
+        if block and held + size > MOST_ITEM_BYTES:
+            yield block
+            block, held = [], 0
+        block.append((row["item"], row["text"]))
+        held += size
+    yield block

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fathom.llm import decontamination
 from fathom.llm.bpe import WordCacheEncoder
-from fathom.llm.decontamination import WindowIndex, decontaminate, remove_spans, words_of
+from fathom.llm.decontamination import WindowIndex, clean_documents, decontaminate, remove_spans, words_of
 from fathom.llm.exact_dedup import ExactDedup, exact_duplicates
 from fathom.llm.members import may_match, without
 from fathom.llm.ngram_join import similarity_components
@@ -368,7 +369,9 @@ def test_automaton_equals_brute_force():
         assert hit.tolist() == want and {n for i in numbers for n in index.items[i]} == names
 
 
-def test_decontamination_edges(spark, edge, nothing):
+@pytest.mark.parametrize("most", [decontamination.MOST_ITEM_BYTES, 9])  # one block of items, and several
+def test_decontamination_edges(spark, edge, nothing, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_ITEM_BYTES", most)
     items = spark.createDataFrame([(10, "A b, c d e", "x"), (9, "a-B c d e", "x"), (11, "漢字 😀", "y"), (12, None, None), (12, "", None)], "item_id long, text string, doc_id string")
     windows = _windows([tuple(r)[:2] for r in items.collect()], 13)
     got = [r.asDict() for r in decontaminate(edge, items, cleaned=True).collect()]
@@ -380,3 +383,14 @@ def test_decontamination_edges(spark, edge, nothing):
     assert {r["cleaned"] for r in got if r["doc_id"] == 9} == {" f"}
     assert decontaminate(nothing, items).count() == 0 and decontaminate(edge, items.limit(0)).where("n_hit > 0").count() == 0
     assert remove_spans("One, two three; four", np.array([False, True, True, False])) == "One, ; four"
+
+
+def test_blocks_of_items_unite_their_hits(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d x x", "p"), (2, "c d", None), (3, "x y " * 50 + "a b", "q"), (4, None, "r"), (4, "b c d", "s")], "doc_id long, text string, `hits.names` string")
+    items = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c d"), (4, "a b"), (5, None)], "item_id long, text string")
+    whole, kept = decontaminate(docs, items).collect(), clean_documents(docs, items)
+    monkeypatch.setattr(decontamination, "MOST_ITEM_BYTES", 3)
+    assert sorted(decontaminate(docs, items).collect()) == sorted(whole)
+    assert {r["n_hit"] for r in whole if r["doc_id"] == 1} == {4} and {r["n_items"] for r in whole if r["doc_id"] == 1} == {4}
+    parts = clean_documents(docs, items)
+    assert parts.columns == docs.columns and sorted(parts.collect(), key=str) == sorted(kept.collect(), key=str)
