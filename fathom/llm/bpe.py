@@ -10,6 +10,7 @@ part; they are cut before a blank between two other characters, where a piece be
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: The endings after an apostrophe that are pieces of their own.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 _OTHER, _SPACE, _LETTER, _NUMBER, _UNSURE = range(5)
-#: Slots of the cache, and the pieces and characters that it holds at most before it starts anew.
+#: Slots of the cache, and the pieces and characters that it holds at most before it drops what was met only once.
 _CACHE_SLOTS, _CACHE_FULL, _CACHE_CHARS = 1 << 20, 500_000, 4 << 20
 #: Pieces longer than this are not kept.
 _LONGEST = 256
@@ -41,6 +42,11 @@ def _class_of(code: int) -> int:
     return _UNSURE if now[0] != old[0] or now == "Cn" else {"L": _LETTER, "N": _NUMBER}.get(now[0], _OTHER)
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] numbers), then those of starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class WordCacheEncoder:
     """Encodes texts with a tokenizer file as its library does; added tokens in a text are their own ids."""
 
@@ -59,6 +65,19 @@ class WordCacheEncoder:
         self._begin, self._count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self._ids, self._entries, self._used = np.zeros(1 << 18, dtype=np.uint32), 0, 0
         self._chars, self._place, self._size, self._held = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
+        self._again = np.zeros(1 << 16, dtype=bool)
+
+    def _trim(self) -> None:
+        """Keep the pieces that a later chunk met again, or none if these fill more than half of the cache."""
+        used = np.flatnonzero(self._keys)
+        used = used[self._again[self._entry[used]]]
+        keys, entry = self._keys[used], self._entry[used]
+        counts, sizes = self._count[entry], self._size[entry]
+        if len(keys) > _CACHE_FULL // 2 or sizes.sum() > _CACHE_CHARS // 2:
+            return self._reset()
+        flat, chars = self._ids[_runs(self._begin[entry], counts)], self._chars[_runs(self._place[entry], sizes)]
+        self._reset()
+        self._keep(keys, flat, counts, chars, sizes)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The cache entry of each key, or -1."""
@@ -85,19 +104,20 @@ class WordCacheEncoder:
         at = np.flatnonzero(same)
         if len(at):
             n = sizes[at]
-            firsts = np.cumsum(n) - n
-            step = np.arange(int(n.sum())) - np.repeat(firsts, n)
-            same[at] = np.logical_and.reduceat(chars[np.repeat(starts[at], n) + step] == self._chars[np.repeat(self._place[entry[at]], n) + step], firsts)
+            same[at] = np.logical_and.reduceat(chars[_runs(starts[at], n)] == self._chars[_runs(self._place[entry[at]], n)], np.cumsum(n) - n)
         return same
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces, at most a chunk's worth of them, and keep them and their ids."""
-        encoded = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.uint32, count=int(counts.sum()))
+        encoded = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        counts = np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(pieces))
         sizes, chars = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)), np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self._keep(keys, np.array(encoded.ids, dtype=np.uint32), counts, chars, sizes)
+
+    def _keep(self, keys: np.ndarray, flat: np.ndarray, counts: np.ndarray, chars: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep pieces of counts ids and sizes characters each, all of them in flat and chars one after the other."""
         first, self._entries = self._entries, self._entries + len(keys)
-        self._begin, self._count, self._place, self._size = (self._grown(x, self._entries) for x in (self._begin, self._count, self._place, self._size))
+        self._begin, self._count, self._place, self._size, self._again = (self._grown(x, self._entries) for x in (self._begin, self._count, self._place, self._size, self._again))
         self._ids, self._chars = self._grown(self._ids, self._used + len(flat)), self._grown(self._chars, self._held + len(chars))
         self._ids[self._used : self._used + len(flat)] = flat
         self._chars[self._held : self._held + len(chars)] = chars
@@ -189,9 +209,10 @@ class WordCacheEncoder:
         keys = slice_hashes(chars, starts, stops) if len(starts) else np.zeros(0, dtype=np.uint64)
         keys[keys == 0] = 1
         if self._entries > _CACHE_FULL or self._held > _CACHE_CHARS:
-            self._reset()
+            self._trim()
         short = stops - starts <= _LONGEST
         entry = self._find(keys)
+        self._again[entry[entry >= 0]] = True
         missing = np.flatnonzero((entry < 0) & short)
         if len(missing):
             new, at = np.unique(keys[missing], return_index=True)
@@ -220,6 +241,7 @@ _ENCODERS: dict[str, WordCacheEncoder] = {}
 
 def encoder(path: str) -> WordCacheEncoder:
     """This process's encoder for a tokenizer file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would wait for each other
     if path not in _ENCODERS:
         _ENCODERS[path] = WordCacheEncoder(path)
     return _ENCODERS[path]
