@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,16 @@ from . import language_id, toxicity
 from .decontamination import decontaminate
 from .exact_dedup import exact_duplicates
 from .html_extract import extract
+from .merkle import MerkleManifest, leaf, proof_digest, verified
 from .ngram_join import similarity_components
 from .packing import pack_documents
+from .pii import KINDS, span_list, with_pii
 from .sharding import shard_by_bytes
 from .token_store import write_tokens
 from .warc import write_archive
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def tokenizer_path() -> str:
@@ -81,6 +86,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=13, percent=5)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = leaf("doc_id", "source", "lang", "n_chars", F.replace("text", F.lit("\n"), F.lit("")))
+    whole = leaf(*MANIFEST_COLUMNS)
+    altered = F.when(_remainder("doc_id", 2) == 0, tampered).otherwise(whole)
+    manifest = MerkleManifest.build(docs, MANIFEST_COLUMNS, "doc_id", "source", keep={"altered": altered})
+    found = verified(manifest.proofs(), manifest.root, F.col("keep_altered"))
+    hexed = {c: F.lower(F.hex(c)) for c in ("digest", "subroot")}
+    return found.select(F.col("id").alias("doc_id"), hexed["digest"].alias("leaf"), hexed["subroot"].alias("subroot"), F.lit(manifest.root).alias("root"), proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _counter(name: str) -> Callable[[Column, Column], Column]:
+    return lambda n, span: n + F.when(span["kind"] == name, 1).otherwise(0)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), column="pii").select("doc_id", "pii", F.filter("pii", lambda s: s["base"]).alias("base"))
+    counts = [F.aggregate("base", F.lit(0).cast("long"), _counter(k.name)).alias(f"n_{k.name}") for k in KINDS if k.base]
+    return found.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -92,6 +118,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_pii": op13_pii,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
