@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, toxicity
 from .decontamination import decontaminate
 from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .html_extract import extract
 from .merkle import MerkleManifest, leaf, proof_digest, verified
 from .ngram_join import similarity_components
@@ -86,6 +87,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=13, percent=5)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", label, "embedding", positives=5, negatives=10)
+    return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     tampered = leaf("doc_id", "source", "lang", "n_chars", F.replace("text", F.lit("\n"), F.lit("")))
@@ -118,6 +125,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_pii": op13_pii,
 }
@@ -128,6 +136,23 @@ _TEST_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x
 _FOUR_BITS = "".join(f"{i:04b}" for i in range(16))
 _FIVE_BITS = "".join(f"{i:05b}," for i in range(32))
 
+#: Base kinds, with their patterns and the test of a match m. The tables have no span of the other kinds; those have tests.
+_PII = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", "true"),
+    "ip": ("[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255"),
+    "card": ("[0-9]([ -]?[0-9])+", "len(regexp_replace(m, '[ -]', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(regexp_replace(m, '[ -]', '', 'g')), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE c::INT * 2 - 9 * (c::INT > 4)::INT END)) % 10 = 0"),
+    "phone": ("[+][0-9][ ().0-9-]+[0-9]", "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
+}
+_PII_SQL = f"""
+    WITH k(o, kind, pattern) AS (VALUES {", ".join(f"({i}, '{k}', '{p}')" for i, (k, (p, _)) in enumerate(_PII.items()))}),
+    a AS (SELECT doc_id, o, kind, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS ps FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), k),
+    b AS (SELECT doc_id, o, kind, unnest(ms) AS m, unnest(ps[:len(ms)]) AS piece, unnest(range(len(ms))) AS i FROM a),
+    c AS (SELECT doc_id, o, kind, m, sum(len(piece) + len(m)) OVER (PARTITION BY doc_id, o ORDER BY i)::BIGINT AS e FROM b),
+    f AS (SELECT doc_id, o, kind, e - len(m) AS s, e FROM c WHERE CASE kind {" ".join(f"WHEN '{k}' THEN {test}" for k, (_, test) in _PII.items())} END),
+    g AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII)} FROM f GROUP BY 1)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PII)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
@@ -149,6 +174,37 @@ ORACLES: dict[str, str] = {
         SELECT page_id, strlen(h)::BIGINT AS payload_bytes, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((strpos('{_FIVE_BITS}', substr(bits, 5 * i + 1, 5) || ',') - 1) // 6 + 1)::INT, 1)), '') AS payload_digest FROM b
     """,
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+              FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+    """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE d AS (SELECT *, coalesce('=' || source, '') AS s FROM documents),
+        f AS (SELECT doc_id, s, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+            text, replace(text, chr(10), '') AS cut FROM d),
+        l AS (SELECT doc_id, s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS cut_leaf,
+            list_reduce([4294967295::UBIGINT::BIGINT] || flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: [ascii(c)::BIGINT] || list_transform(range(8), lambda i: -1::BIGINT))),
+                lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        tree(s, k, nodes) AS (SELECT s, 0, list(leaf ORDER BY pos) FROM p GROUP BY s UNION ALL
+            SELECT s, k + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM tree WHERE len(nodes) > 1),
+        sub AS (SELECT s, nodes[1] AS subroot, row_number() OVER (ORDER BY s) - 1 AS place FROM tree WHERE len(nodes) = 1),
+        top(k, nodes) AS (SELECT 0, list(subroot ORDER BY place) FROM sub UNION ALL
+            SELECT k + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM top WHERE len(nodes) > 1),
+        lv AS (SELECT s, k, nodes FROM tree WHERE len(nodes) > 1 UNION ALL SELECT s, 1000 + k, nodes FROM sub, top WHERE len(nodes) > 1),
+        pl AS (SELECT p.doc_id, p.s, p.pos, lv.k, lv.nodes, (CASE WHEN lv.k >= 1000 THEN sub.place // (3 ** (lv.k - 1000))::BIGINT ELSE p.pos // (3 ** lv.k)::BIGINT END) AS i FROM p JOIN lv USING (s) JOIN sub USING (s)),
+        st AS (SELECT s, pos, k, array_to_string(nodes[i // 3 * 3 + 1:i], '') AS lft, array_to_string(nodes[i + 2:i // 3 * 3 + 3], '') AS rgt FROM pl),
+        pr AS (SELECT s, pos, list({'l': lft, 'r': rgt} ORDER BY k) AS steps FROM st GROUP BY s, pos),
+        fold(s, pos, done, acc) AS (SELECT s, pos, 0, CASE WHEN crc % 2 = 1 THEN cut_leaf ELSE leaf END FROM p UNION ALL
+            SELECT fold.s, fold.pos, done + 1, sha256(steps[done + 1].l || acc || steps[done + 1].r) FROM fold JOIN pr ON pr.s = fold.s AND pr.pos = fold.pos WHERE done < len(steps))
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x.l || x.r), ''), '')) AS proof_sha256, acc AS folded_root, acc = root AS verified
+        FROM p JOIN sub USING (s) LEFT JOIN pr ON pr.s = p.s AND pr.pos = p.pos JOIN (SELECT s, pos, max_by(acc, done) AS acc FROM fold GROUP BY ALL) g ON g.s = p.s AND g.pos = p.pos, (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1)
+    """,
+    "op13_pii": _PII_SQL,
     "op10_decontamination": f"""
         WITH t AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {_TEST_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
         tw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM t)),
