@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fathom.config import EngineConfig
 from fathom.functions.text import preview
 from fathom.operators import answer, bm25, community, dense, evaluate, fusion, graph
+from fathom.operators.segments import SegmentedIndex
 from fathom.operators.store import UnitStore, load_graph, save_graph, table_if_there
 from fathom.providers import Embedder, Generator, cached, embed_column, extractive_generator, generate_column, hashing_embedder, local_embedder, local_generator, tokenizers
 from fathom.sources import vault
@@ -52,19 +53,15 @@ class Engine:
             raise ValueError("a public-only index must not go to the default store path")
         notes = self.notes()
         self.store.replace(self._units(notes.where("public") if public_only else notes))
-        self.save_words()
+        self.words().rebuild(self.store.read())
         return self.store.read("").count()
 
-    def save_words(self) -> None:
-        """Write the BM25 index of all units beside the store."""
-        bm25.Bm25Index.build(self.store.read(), "unit_id", tokenizer=self.tokenizer).save(f"{self.config.store_path}/bm25")
-
-    def words(self) -> bm25.Bm25Index:
-        """The saved BM25 index, else one made now."""
-        path = f"{self.config.store_path.rstrip('/')}/bm25"
-        if table_if_there(self.spark, f"{path}/numbers") is not None:
-            return bm25.Bm25Index.load(self.spark, path, self.tokenizer)
-        return bm25.Bm25Index.build(self.store.read(), "unit_id", tokenizer=self.tokenizer)
+    def words(self) -> SegmentedIndex:
+        """The BM25 index of all units, beside the store; it is made if it is not there."""
+        index = SegmentedIndex(self.spark, f"{self.config.store_path.rstrip('/')}/bm25", self.tokenizer)
+        if not index.exists():
+            index.rebuild(self.store.read())
+        return index
 
     def _queries(self, texts: list[str]) -> DataFrame:
         rows = [(i, t) for i, t in enumerate(texts)]
@@ -137,8 +134,11 @@ class Engine:
         summaries, summarised = self._remembered(work, members.select("key", "prompt"), "summaries", False)
         texts = members.join(summaries, "key")
         units = texts.select(F.concat(F.lit(f"{SUMMARY}::"), F.col("community_id")).alias("unit_id"), F.concat(F.lit("<community-"), F.col("community_id"), F.lit(">")).alias("source"), F.lit("").alias("header_path"), F.col("answer").alias("text"), "community_id", "note_count")
+        old = self.store.read(SUMMARY).select("source").distinct() if SUMMARY in self.store.kinds() else units.select("source").limit(0)
+        old = work.table(old, "old-summaries")
         self.store.replace(embed_column(units, self.embedder), SUMMARY)
-        self.save_words()
+        fresh = self.store.read(SUMMARY)
+        self.words().upsert(fresh, old.unionByName(fresh.select("source")))
         counts = {"nodes": nodes.count(), "edges": edges.count(), "entities": nodes.where("kind = 'entity'").count(), "unresolved": unresolved.count(), "isolated": graph.isolated(nodes.where("kind = 'note'"), edges).count(), "communities": numbered.count()}
         return counts | {"extraction": extraction, "summaries": summarised}
 
@@ -200,8 +200,9 @@ class Engine:
         if write and not note["no_evidence"]:
             note["source"] = self._write_note(note["filename"], note["note"])
             raw = self.spark.createDataFrame([(note["source"], note["note"])], "source string, raw string")
+            words = self.words()
             self.store.upsert(self._units(vault.parse_notes(raw)))
-            self.save_words()
+            words.upsert(self.store.read("").where(F.col("source") == note["source"]), raw)
         return note
 
     def _write_note(self, filename: str, text: str) -> str:

@@ -1,8 +1,8 @@
 """Okapi BM25: an index of DataFrames, and search for a whole table of queries at once.
 
-An index is either a plan over the units or a saved table. Either way a search looks at the asked words first: only
-their postings leave the scan, and the mean weight of all words, which takes the whole vocabulary, is worked out when the
-index is saved, or when a search asks for a word that more than half of the units have.
+The index here is a plan over the units; `segments` has the saved one. A search looks at the asked words first: only their
+postings leave the scan, and the mean weight of all words, which takes the whole vocabulary, is worked out when a search
+asks for a word that more than half of the units have.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokenize
@@ -18,8 +18,8 @@ from fathom.storage import Workspace
 
 Tokenizer = Callable[[Column], Column]
 TIE_DIGITS = 9
-#: Parts that the postings of a saved index are dealt to by their word, and the most words that prune them by name.
-PARTS, NAMED_WORDS = 64, 5000
+#: The most words that are named in a plan.
+NAMED_WORDS = 5000
 
 
 def _words(units: DataFrame, id_col: str, text_col: str, tokenizer: Tokenizer) -> DataFrame:
@@ -28,20 +28,13 @@ def _words(units: DataFrame, id_col: str, text_col: str, tokenizer: Tokenizer) -
     return units.select(F.col(id_col).alias("unit"), words.alias("words")).withColumn("dl", F.size("words"))
 
 
-def _part(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(PARTS)).cast("int")
-
-
 @dataclass(frozen=True)
 class Bm25Index:
-    """Words of the units, or saved postings (token, unit, tf, dl, part) with vocabulary (token, df, part); the corpus
-    numbers. k1, b and epsilon as in the common Okapi form: a negative weight becomes epsilon times the mean weight."""
+    """Words of the units and the corpus numbers. k1, b and epsilon as in the common Okapi form: a negative weight becomes epsilon times the mean weight."""
 
     n_units: int
     mean_length: float
-    words: DataFrame | None = None
-    stored: tuple[DataFrame, DataFrame] | None = None
-    mean_weight: float | None = None
+    words: DataFrame
     tokenizer: Tokenizer = field(default=tokenize)
     k1: float = 1.5
     b: float = 0.75
@@ -53,28 +46,9 @@ class Bm25Index:
         row = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
         return cls(row["n"], row["mean"] or 0.0, words, tokenizer=tokenizer, **params)
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = tokenize, **params: float) -> Bm25Index:
-        """An index that save() wrote, with the tokenizer that it was built with."""
-        row = spark.read.parquet(f"{path}/numbers").first()
-        return cls(row["n_units"], row["mean_length"], None, (spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary")), row["mean_weight"], tokenizer, **params)
-
-    def save(self, path: str) -> None:
-        """Write postings and vocabulary, dealt by word and sorted, and the corpus numbers with the mean weight."""
-        spark = self.words.sparkSession
-        dealt = self.postings().withColumn("part", _part(F.col("token"))).repartition("part").sortWithinPartitions("part", "token")
-        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-        kept = spark.read.parquet(f"{path}/postings")
-        kept.groupBy("part", "token").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/vocabulary")
-        mean = self._raw(spark.read.parquet(f"{path}/vocabulary")).agg(F.avg("raw")).first()[0]
-        spark.createDataFrame([(self.n_units, float(self.mean_length), mean)], "n_units long, mean_length double, mean_weight double").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
-
     def postings(self, asked: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-        """(token, unit, tf, dl) of all words, or of the asked ones (token). Few are also given by name: they prune the
-        files of a saved index."""
-        if self.stored is not None:
-            found = self._pruned(self.stored[0], names)
-            return (found if asked is None else found.join(F.broadcast(asked) if names is not None else asked, "token", "left_semi")).select("token", "unit", "tf", "dl")
+        """(token, unit, tf, dl) of all words, or of the asked ones (token). Few are also given by name: only they leave the
+        scan."""
         rows = self.words
         if names is not None:
             rows = rows.withColumn("words", F.filter("words", lambda w: w.isin(names))) if len(names) <= 50 else rows
@@ -83,18 +57,10 @@ class Bm25Index:
             rows = rows.join(F.broadcast(asked) if names is not None else asked, "token", "left_semi")
         return rows.groupBy("token", "unit").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
-    @staticmethod
-    def _pruned(table: DataFrame, names: list[str] | None) -> DataFrame:
-        if names is None:
-            return table
-        return table.where(F.col("part").isin([r[0] for r in table.sparkSession.createDataFrame([(n,) for n in names], "token string").select(_part(F.col("token"))).distinct().collect()]) & F.col("token").isin(names)) if names else table.limit(0)
-
     def _raw(self, df: DataFrame) -> DataFrame:
         return df.withColumn("raw", F.log(self.n_units - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
 
     def _vocabulary(self) -> DataFrame:
-        if self.stored is not None:
-            return self.stored[1].select("token", "df")
         return self.words.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def _weighed(self, df: DataFrame, mean: float | None) -> DataFrame:
@@ -102,7 +68,7 @@ class Bm25Index:
         return self._raw(df).select("token", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
     def _mean(self) -> float | None:
-        return self.mean_weight if self.mean_weight is not None else self._raw(self._vocabulary()).agg(F.avg("raw")).first()[0]
+        return self._raw(self._vocabulary()).agg(F.avg("raw")).first()[0]
 
     def weights(self) -> DataFrame:
         """(token, df, idf) of all words."""
@@ -117,14 +83,10 @@ class Bm25Index:
         few = [r[0] for r in tokens.limit(NAMED_WORDS + 1).collect()]
         names = few if len(few) <= NAMED_WORDS else None
         found = self.postings(tokens, names)
-        if self.stored is not None:
-            df = self._pruned(self.stored[1], names).select("token", "df")
-            df = df if names is not None else df.join(tokens, "token", "left_semi")
-        else:
-            found = Workspace(queries.sparkSession, "bm25").table(found, "postings")  # read three times below
-            df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        mean = self.mean_weight
-        if mean is None and not df.where(F.col("df") > (self.n_units - 0.5) / 2).isEmpty():
+        found = Workspace(queries.sparkSession, "bm25").table(found, "postings")  # read three times below
+        df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        mean = None
+        if not df.where(F.col("df") > (self.n_units - 0.5) / 2).isEmpty():
             mean = self._mean()
         weighed = asked.join(self._weighed(df, mean), "token")
         tf = F.col("tf")

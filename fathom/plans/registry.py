@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import answer, bm25, chunking, community, components, dense, evaluate, fusion, graph, store
+from fathom.operators import answer, chunking, community, components, dense, evaluate, fusion, graph, segments, store
 from fathom.providers import extractive_generator
 from fathom.sources import vault
 from fathom.storage import Workspace
@@ -76,8 +76,17 @@ _FUSED_SQL = f"""{_RANKS_SQL},
 
 
 # --- lexical -------------------------------------------------------------------------------------------------------
-def _index(spark: SparkSession, sf: str) -> bm25.Bm25Index:
-    return bm25.Bm25Index.build(_t(spark, sf, "documents"), "doc_id")
+_SAVED: dict[tuple[str, str], segments.SegmentedIndex] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> segments.SegmentedIndex:
+    """The saved index of all documents. The first query of a session over a folder makes it, as `Engine.index` does."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED:
+        index = segments.SegmentedIndex(spark, Workspace(spark, "documents-bm25").path("index"))
+        index.rebuild(_t(spark, sf, "documents"), "doc_id", None)
+        _SAVED[key] = index
+    return _SAVED[key]
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,6 +49,31 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    source = fs.open(target)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, or put it in place of the one that is there, in one rename."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fresh = hadoop.Path(f"{path}-{uuid.uuid4().hex[:8]}.tmp")
+    out = fresh.getFileSystem(conf).create(fresh)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, hadoop.Path(path), options)
+
+
 def sweep(spark: SparkSession) -> None:
     """Give memory and disk back between the steps of a long job. The driver collects its garbage, whereupon Spark removes
     the shuffle files and broadcasts of plans that nothing refers to any more; the executors collect theirs, whereupon

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.operators.chunking import chunk_notes
+from fathom.operators.segments import SegmentedIndex
 from fathom.operators.store import UnitStore, changed
 from fathom.providers import Embedder, embed_column, hashing_embedder
 from fathom.sources.vault import parse_notes
+from fathom.storage import Workspace
 
 KEPT = ("date", "project", "type", "public", "content_sha")
 
@@ -24,8 +26,9 @@ def units_of(notes: DataFrame, embedder: Embedder, chunk_size: int = 1000, chunk
     return embed_column(chunk_notes(notes, chunk_size, chunk_overlap, KEPT), embedder)
 
 
-def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedder: Embedder | None = None, chunk_size: int = 1000, chunk_overlap: int = 100) -> StreamingQuery:
-    """Parse, chunk, embed and upsert every micro-batch of arrivals (source, raw, version) into the store. Of several
+def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedder: Embedder | None = None, chunk_size: int = 1000, chunk_overlap: int = 100, words: SegmentedIndex | None = None) -> StreamingQuery:
+    """Parse, chunk, embed and upsert every micro-batch of arrivals (source, raw, version) into the store, and into the
+    lexical index `words`, where each batch becomes a segment of its own. Of several
     versions of a note in a batch the last counts; notes whose body the store has already are skipped; a note is public
     only if its frontmatter says so. Each batch counts once even if it runs again, as its sources are replaced. Runs until
     all that is there has been read."""
@@ -34,7 +37,13 @@ def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedde
     def put(batch: DataFrame, _: int) -> None:
         notes = parse_notes(latest(batch, "source", "version").select("source", "raw"))
         new = changed(store.read("").select("source", "content_sha", "public").distinct(), notes, digest=("content_sha", "public"))
-        store.upsert(units_of(new, embedder, chunk_size, chunk_overlap), sources=new.select("source"))
+        work = Workspace(batch.sparkSession, "arrivals")
+        sources = work.table(notes.select("source"), "sources")
+        fresh = work.table(units_of(new, embedder, chunk_size, chunk_overlap), "units")
+        store.upsert(fresh, sources=work.table(new.select("source"), "new"))
+        if words is not None:  # also notes that the store had before: a batch may have ended between the two
+            words.upsert(store.read("").join(sources, "source", "left_semi"), sources)
+        work.remove()
 
     return arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fathom.cli import _parser, run, serve
 from fathom.config import EngineConfig
 from fathom.engine import Engine
+from fathom.operators.bm25 import Bm25Index
+from fathom.operators.segments import SegmentedIndex
 from fathom.operators.store import UnitStore
 from fathom.providers import HASHING_THRESHOLD, extractive_generator, local_embedder, local_generator
 from fathom.streaming.incremental import index_stream
@@ -128,11 +130,17 @@ def test_model_server(spark):
 
 def test_stream_into_store(spark, tmp_path):
     arrivals, units = f"file://{tmp_path}/in", UnitStore(spark, f"file://{tmp_path}/units")
+    words = SegmentedIndex(spark, f"file://{tmp_path}/words")
     schema = "source string, raw string, version int"
     long = "---\npublic: true\n---\n" + "many words here. " * 200
     for rows in ([("a", "one", 1), ("b", "two", 1), ("a", "one!", 2), ("d", long, 1)], [("a", "one!", 3), ("b", "two!", 2), ("c", "three", 1)]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(arrivals)
-        index_stream(spark.readStream.schema(schema).parquet(arrivals), units, f"file://{tmp_path}/check").awaitTermination()
+        index_stream(spark.readStream.schema(schema).parquet(arrivals), units, f"file://{tmp_path}/check", words=words).awaitTermination()
+        fresh = Bm25Index.build(units.read())
+        asked = spark.createDataFrame([(0, "one! two many"), (1, "three")], "query_id int, query string")
+        ranked = lambda index: sorted((r["query"], r["rank"], r["unit"], round(r["score"], 9)) for r in index.search(asked, 5).collect())
+        assert ranked(words) == ranked(fresh) != []
+    assert len(words.segments()) == 2
     found = units.read().collect()
     assert {(r["source"], r["text"], r["public"]) for r in found if r["source"] != "d"} == {("a", "one!", False), ("b", "two!", False), ("c", "three", False)}
     assert sum(r["source"] == "d" and r["public"] for r in found) > 1 and all(r["embedding"] for r in found)

@@ -251,20 +251,6 @@ def test_many_query_blocks_and_patterns(spark, monkeypatch):
     assert sorted(map(tuple, evaluate.containing(files, patterns).collect())) == found == [(0, "a"), (0, "b"), (1, "b"), (1, "cd")]
 
 
-def test_saved_index_finds_the_same(spark, tmp_path):
-    units = spark.createDataFrame([("a", "Sun and rain, and sun"), ("b", "rain and wind"), ("c", None), ("d", "and and snow"), ("e", "and")], "unit_id string, text string")
-    asked = spark.createDataFrame([(0, "sun rain"), (1, "and snow snow"), (2, "nothing")], "query_id int, query string")
-    live = bm25.Bm25Index.build(units)
-    live.save(f"file://{tmp_path}/index")
-    kept = bm25.Bm25Index.load(spark, f"file://{tmp_path}/index")
-    rows = lambda df: sorted((r["query"], r["unit"], round(r["score"], 9), r["rank"]) for r in df.collect())
-    assert rows(live.search(asked, 3)) == rows(kept.search(asked, 3)) != []
-    plan = kept.scores(asked)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [part" in plan or "PartitionFilters: [isnotnull(part" in plan
-    other = bm25.Bm25Index.build(units, tokenizer=word_tokenizer(lambda t: t.lower().replace(",", " ").split()))
-    assert [r["unit"] for r in other.search(spark.createDataFrame([(0, "RAIN")], "query_id int, query string"), 3).collect()] == ["b", "a"]
-
-
 def test_components_of_chains_and_hubs(spark):
     sf = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
