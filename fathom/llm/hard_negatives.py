@@ -317,7 +317,8 @@ class VoronoiJoin:
         scores = positives.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("place", "score"))).alias("_s"))  # few
         scores = scores.select(F.col("anchor").alias("id"), F.transform("_s", lambda s: s["score"]).alias("scores"))
         asked = self.work.table(anchors.join(scores, "id").withColumn("space", F.lit(0)), "asked")
-        cells = self.cells.groupBy("cell").agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("rows") - F.max("rows")).alias("others")).withColumn("space", F.lit(0))
+        cells = self.cells.groupBy("cell").agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("rows") - F.max("rows")).alias("others"))
+        cells = self.work.table(cells.withColumn("space", F.lit(0)), "all-cells")
         local = _Join(self.dim, k, share)
 
         def serves(bounds: Bounds, known: pa.Table, part: pa.Table) -> np.ndarray:

@@ -176,9 +176,9 @@ def redacted(text: Column, spans: Column) -> Column:
     def step(done: Column, s: Column) -> Column:
         fresh = F.concat(done["parts"], F.array(cut(done["at"], s["start"]), F.concat(F.lit("<"), s["kind"], F.lit(">"))))
         parts = F.when(s["start"] >= done["at"], fresh).otherwise(done["parts"])
-        return F.struct(parts.alias("parts"), F.greatest(done["at"], s["end"]).alias("at"))
+        return F.struct(parts.alias("parts"), F.greatest(done["at"], -s["back"]).alias("at"))
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     return F.aggregate(ordered, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), cut(done["at"], F.length(text).cast("long"))))
 
 

@@ -70,7 +70,7 @@ def test_few_rows_and_none(spark):
 
 def test_cells_that_cannot_serve_are_left_out(spark):
     rows = clustered(3000, spread=0.02, clusters=12)
-    join = hn.VoronoiJoin(frame(spark, rows), max_pivots=40, group_anchors=8)
+    join = hn.VoronoiJoin(frame(spark, rows), max_pivots=40, group_anchors=1)
     anchors = join.anchors(F.col("id") % 100 == 0)
     found = join.nearest_of_label(anchors, 5)
     served = spark.read.parquet(f"{join.work.root}/served-*")
