@@ -24,7 +24,8 @@ def _env(name: str, default, kind=str):
 @dataclass(frozen=True)
 class EngineConfig:
     """The numbers are fixed values that rankings depend on. Without a relevance threshold the embedder's own holds;
-    THRESHOLD is for embedders that have none. provider: "builtin", or "server" for a model server at base_url."""
+    THRESHOLD is for embedders that have none. provider: "builtin", or "server" for a model server at base_url.
+    vector_search: "exact", or "ann" for the approximate index beside the store."""
 
     vault_path: str = _env("VAULT_PATH", "vault")
     store_path: str = _env("STORE_PATH", "store")
@@ -44,6 +45,7 @@ class EngineConfig:
     relevance_threshold: float | None = _env("RELEVANCE_THRESHOLD", "", _threshold)
     provider: str = _env("MODEL_PROVIDER", "builtin")
     tokenizer: str = _env("TOKENIZER", "whitespace")
+    vector_search: str = _env("VECTOR_SEARCH", "exact")
     wiki_dir: str = _env("WIKI_DIR", "04-WIKI")
 
     THRESHOLD: ClassVar[float] = 0.48
@@ -53,6 +55,8 @@ class EngineConfig:
             raise ValueError(f"only local model endpoints are allowed, not {self.base_url}")
         if self.provider not in ("builtin", "server"):
             raise ValueError(f"no provider {self.provider}")
+        if self.vector_search not in ("exact", "ann"):
+            raise ValueError(f"no vector search {self.vector_search}")
         if not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("chunk_overlap must be smaller than chunk_size")
 

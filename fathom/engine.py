@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from fathom.config import EngineConfig
 from fathom.functions.text import preview
 from fathom.operators import answer, bm25, community, dense, evaluate, fusion, graph
+from fathom.operators.ann import AnnIndex
 from fathom.operators.segments import SegmentedIndex
-from fathom.operators.store import UnitStore, load_graph, save_graph, table_if_there
+from fathom.operators.store import UnitStore, load_graph, save_graph
 from fathom.providers import Embedder, Generator, cached, embed_column, extractive_generator, generate_column, hashing_embedder, local_embedder, local_generator, tokenizers
 from fathom.sources import vault
-from fathom.storage import Workspace
+from fathom.storage import Workspace, table_if_there
 from fathom.streaming.incremental import units_of
 
 SUMMARY = "community_summary"
@@ -54,6 +55,8 @@ class Engine:
         notes = self.notes()
         self.store.replace(self._units(notes.where("public") if public_only else notes))
         self.words().rebuild(self.store.read())
+        if self.config.vector_search == "ann":
+            self.vectors().build(self.store.read())
         return self.store.read("").count()
 
     def words(self) -> SegmentedIndex:
@@ -63,6 +66,21 @@ class Engine:
             index.rebuild(self.store.read())
         return index
 
+    def vectors(self) -> AnnIndex:
+        """The approximate vector index of all units, beside the store."""
+        return AnnIndex(self.spark, f"{self.config.store_path.rstrip('/')}/ann")
+
+    def _added(self, units: DataFrame) -> None:
+        """Units that came into the store go into the vector index, if it is in use."""
+        if self.config.vector_search == "ann" and self.vectors().exists():
+            self.vectors().add(units)
+
+    def nearest(self, asked: DataFrame, units: DataFrame, k: int) -> DataFrame:
+        """(query, unit, score, rank) as configured: exact, or from the vector index if there is one."""
+        if self.config.vector_search == "ann" and self.vectors().exists():
+            return self.vectors().search(asked, units, k, "unit", query_id_col="query")
+        return dense.dense_search(units, asked, k, "unit", query_id_col="query")
+
     def _queries(self, texts: list[str]) -> DataFrame:
         rows = [(i, t) for i, t in enumerate(texts)]
         return embed_column(self.spark.createDataFrame(rows, "query int, text string"), self.embedder)
@@ -73,7 +91,7 @@ class Engine:
         units = self.store.read().withColumnRenamed("unit_id", "unit")
         asked, many = self._queries(texts), EngineConfig.candidate_k(k)
         summaries = units.where(F.col("kind") == SUMMARY).select("unit")
-        lists = {"dense": dense.dense_search(units, asked, many, "unit", query_id_col="query"), "bm25": self.words().search(asked, many, "query", "text")}
+        lists = {"dense": self.nearest(asked, units, many), "bm25": self.words().search(asked, many, "query", "text")}
         weights = {"dense": c.dense_weight, "bm25": c.bm25_weight}
         loaded = load_graph(self.spark, c.graph_path) if c.graph_weight else None
         if loaded is not None:
@@ -90,7 +108,7 @@ class Engine:
 
     def ask(self, texts: list[str], k: int = 5) -> DataFrame:
         asked, units = self._queries(texts), self.store.read("").withColumnRenamed("unit_id", "unit")
-        top = dense.top_similarity(dense.dense_search(units, asked, 5, "unit", query_id_col="query"))
+        top = dense.top_similarity(self.nearest(asked, units, 5))
         return answer.answers(asked, self.search(texts, k), top, self.generator, self.threshold)
 
     def agentic(self, text: str, k: int = 5, max_iterations: int = 2) -> answer.AgentState:
@@ -139,6 +157,7 @@ class Engine:
         self.store.replace(embed_column(units, self.embedder), SUMMARY)
         fresh = self.store.read(SUMMARY)
         self.words().upsert(fresh, old.unionByName(fresh.select("source")))
+        self._added(fresh)
         counts = {"nodes": nodes.count(), "edges": edges.count(), "entities": nodes.where("kind = 'entity'").count(), "unresolved": unresolved.count(), "isolated": graph.isolated(nodes.where("kind = 'note'"), edges).count(), "communities": numbered.count()}
         return counts | {"extraction": extraction, "summaries": summarised}
 
@@ -202,7 +221,9 @@ class Engine:
             raw = self.spark.createDataFrame([(note["source"], note["note"])], "source string, raw string")
             words = self.words()
             self.store.upsert(self._units(vault.parse_notes(raw)))
-            words.upsert(self.store.read("").where(F.col("source") == note["source"]), raw)
+            fresh = self.store.read("").where(F.col("source") == note["source"])
+            words.upsert(fresh, raw)
+            self._added(fresh)
         return note
 
     def _write_note(self, filename: str, text: str) -> str:

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.storage import table_if_there
+
 UNITS = "unit_id string, source string, header_path string, date string, project string, type string, public boolean, text string, chunk_index int, community_id int, note_count int, content_sha string, embedding array<float>, kind string"
 BUCKETS = 64
 
@@ -134,14 +136,6 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
-def table_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet table, or None if there is nothing at the path."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return None
-    return spark.read.parquet(path)
-
-
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """(nodes, edges), or None if there is no graph that can be read as Parquet: search then goes on without it."""
     from py4j.protocol import Py4JError

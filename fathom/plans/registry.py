@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import answer, chunking, community, components, dense, evaluate, fusion, graph, segments, store
+from fathom.operators import ann, answer, chunking, community, components, dense, evaluate, fusion, graph, segments, store
 from fathom.providers import extractive_generator
 from fathom.sources import vault
 from fathom.storage import Workspace
@@ -149,6 +149,38 @@ def dense_batch(spark, sf):
     return _dense(spark, sf, K, True).select("query", F.col("unit").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+_ANN: dict[tuple[str, str], ann.AnnIndex] = {}
+
+
+def _ann(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Approximate neighbours of the probes, from the saved index of all vectors, made by a session's first query."""
+    key, vectors = (spark.sparkContext.applicationId, sf), _t(spark, sf, "embeddings")
+    if key not in _ANN:
+        index = ann.AnnIndex(spark, Workspace(spark, "embeddings-ann").path("index"))
+        index.build(vectors, "vec_id")
+        _ANN[key] = index
+    return _ANN[key].search(vectors.where("vec_id % 50 = 0"), vectors, k, "vec_id", query_id_col="vec_id", exclude_self=True)
+
+
+@query()
+def ann_batch(spark, sf):
+    return _ann(spark, sf, K).select("query", F.col("unit").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS n, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf):
+    """Recall at 10 against the exact search over all rows: at least 0.9."""
+    return ann.recall(_ann(spark, sf, K), _dense(spark, sf, K, True)).select("n", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query(f"""WITH {_bm25_sql(_ITEMS_SQL, K)} SELECT count(DISTINCT query) AS n, true AS fewer_read, count(*) AS found FROM bm""")
+def bm25_skipped_ranges(spark, sf):
+    """Block bounds over all items: some blocks are skipped, and all of the k best are found."""
+    index, items = _index(spark, sf), _items(spark, sf)
+    read = index.blocks(items, K).agg((F.sum(F.when(F.col("kept"), 0).otherwise(F.col("blocks"))) > 0).alias("fewer_read"))
+    return index.search(items, K).agg(F.countDistinct("query").alias("n"), F.count(F.lit(1)).alias("found")).join(read).select("n", "fewer_read", "found")
+
+
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_expression(spark, sf):
     v = _t(spark, sf, "embeddings")
@@ -413,6 +445,31 @@ def tag_pairs(spark, sf):
     return graph.tag_pairs(_t(spark, sf, "nation").select("n_name", F.array(F.col("n_regionkey").cast("string")).alias("tags")), "n_name", "tags")
 
 
+def _document_tags(spark, sf) -> DataFrame:
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.array("source", F.concat(F.lit("lang/"), "lang")).alias("tags"))
+    return graph.tag_members(docs)
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, unnest([source, 'lang/' || lang]) AS tag FROM documents), p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b USING (tag) WHERE a.doc_id <> b.doc_id),
+    one AS (SELECT a AS query, b AS node, 2.2 AS score FROM p WHERE a % 50 = 0), two AS (SELECT DISTINCT query, b AS node, 1.4 AS score FROM one JOIN p ON p.a = one.node)
+    SELECT query::VARCHAR AS query, node::VARCHAR AS node, round(max(score), 6)::DOUBLE AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE query <> node GROUP BY ALL""")
+def tag_proximity(spark, sf):
+    """Documents near every fiftieth one through what they share: source and language are tags. The SQL makes the pairs."""
+    tags = _document_tags(spark, sf)
+    seeds = tags.where("cast(node as long) % 50 = 0").select(F.col("node").alias("query"), "node").distinct()
+    no_edges = _rows(spark, [], "src string, dst string, kind string, weight double")
+    return graph.proximity(seeds, no_edges, 2, Workspace(spark, "tag-proximity"), tags).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, unnest([source, 'lang/' || lang]) AS tag FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.tag = b.tag AND a.doc_id < b.doc_id),
+    w AS (SELECT d.source AS c, count(*) AS l FROM e JOIN documents d ON d.doc_id = a JOIN documents f ON f.doc_id = b WHERE d.source = f.source GROUP BY 1),
+    g AS (SELECT d.source AS c, count(*) AS d FROM (SELECT a FROM e UNION ALL SELECT b FROM e) x(a) JOIN documents d ON d.doc_id = x.a GROUP BY 1)
+    SELECT round(sum(coalesce(l, 0) / m - (d / (2.0 * m)) ** 2), 6) AS modularity FROM g LEFT JOIN w USING (c), (SELECT count(*)::DOUBLE AS m FROM e)""")
+def tag_modularity(spark, sf):
+    membership = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("node"), F.col("source").alias("community"))
+    return graph.tag_modularity(_document_tags(spark, sf), membership).select(F.round("modularity", 6).alias("modularity"))
+
+
 @query("SELECT page_id, target, count(*) AS weight FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) GROUP BY ALL")
 def page_links(spark, sf):
     links = _t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))

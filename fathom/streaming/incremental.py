@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fathom.operators.ann import AnnIndex
 from fathom.operators.chunking import chunk_notes
 from fathom.operators.segments import SegmentedIndex
 from fathom.operators.store import UnitStore, changed
@@ -26,9 +27,9 @@ def units_of(notes: DataFrame, embedder: Embedder, chunk_size: int = 1000, chunk
     return embed_column(chunk_notes(notes, chunk_size, chunk_overlap, KEPT), embedder)
 
 
-def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedder: Embedder | None = None, chunk_size: int = 1000, chunk_overlap: int = 100, words: SegmentedIndex | None = None) -> StreamingQuery:
+def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedder: Embedder | None = None, chunk_size: int = 1000, chunk_overlap: int = 100, words: SegmentedIndex | None = None, vectors: AnnIndex | None = None) -> StreamingQuery:
     """Parse, chunk, embed and upsert every micro-batch of arrivals (source, raw, version) into the store, and into the
-    lexical index `words`, where each batch becomes a segment of its own. Of several
+    lexical index `words`, where each batch becomes a segment of its own, and the vector index `vectors`. Of several
     versions of a note in a batch the last counts; notes whose body the store has already are skipped; a note is public
     only if its frontmatter says so. Each batch counts once even if it runs again, as its sources are replaced. Runs until
     all that is there has been read."""
@@ -43,6 +44,8 @@ def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedde
         store.upsert(fresh, sources=work.table(new.select("source"), "new"))
         if words is not None:  # also notes that the store had before: a batch may have ended between the two
             words.upsert(store.read("").join(sources, "source", "left_semi"), sources)
+        if vectors is not None:
+            vectors.add(fresh)
         work.remove()
 
     return arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

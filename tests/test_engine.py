@@ -128,6 +128,19 @@ def test_model_server(spark):
         server.shutdown()
 
 
+def test_approximate_vectors_follow_the_store(spark, config, tmp_path):
+    own = replace(config, store_path=f"file://{tmp_path}/store", graph_path=f"file://{tmp_path}/graph", vector_search="ann")
+    engine = Engine(spark, own)
+    engine.index()
+    exact = Engine(spark, replace(own, vector_search="exact"))
+    ranks = lambda e: sorted((r["query"], r["dense_rank"], r["unit"]) for r in e.search(["compost worms", "fugue"], 5).collect())
+    assert engine.vectors().exists() and ranks(engine) == ranks(exact)
+    written = engine.distill("compost worms", write=True)["source"]
+    assert any(r["source"] == written and r["dense_rank"] and r["bm25_rank"] for r in engine.search(["compost worms"], 5).collect())
+    with pytest.raises(ValueError):
+        replace(config, vector_search="other")
+
+
 def test_stream_into_store(spark, tmp_path):
     arrivals, units = f"file://{tmp_path}/in", UnitStore(spark, f"file://{tmp_path}/units")
     words = SegmentedIndex(spark, f"file://{tmp_path}/words")

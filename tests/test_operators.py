@@ -96,6 +96,26 @@ def test_proximity_equals_all_walks(spark):
         assert got == pytest.approx(_proximity_by_walks(edges, {"n0", "n3"}, hops))
 
 
+def test_tags_as_nodes_equal_their_pairs(spark):
+    r = random.Random(8)
+    notes = [(f"n{i}", r.sample(["a", "b", "c", "d", None], r.randint(0, 3))) for i in range(14)]
+    table = spark.createDataFrame(notes, "source string, tags array<string>")
+    pairs = [(a, b) for a, t in notes for b, u in notes if a < b and set(t) & set(u) - {None}]
+    links = [tuple(sorted(r.sample([n for n, _ in notes], 2))) for _ in range(5)] + [("entity::x", "n1"), ("entity::x", "n2")]
+    kinds = lambda e: "mentions" if e[0].startswith("entity::") else "links_to"
+    linked = [(*e, kinds(e), 1.0) for e in dict.fromkeys(links)]
+    both = linked + [(*p, "tagged", 1.0) for p in pairs if p not in links]
+    schema, seeds = "src string, dst string, kind string, weight double", spark.createDataFrame([(0, "n0"), (0, "n3"), (1, "n5")], "query int, node string")
+    told = lambda df: sorted((x["query"], x["node"], round(x["score"], 9)) for x in df.collect())
+    for hops in (1, 2):
+        got = graph.proximity(seeds, spark.createDataFrame(linked, schema), hops, tags=graph.tag_members(table))
+        assert told(got) == told(graph.proximity(seeds, spark.createDataFrame(both, schema), hops)) != []
+    shared = [(a, b, float(len(set(t) & set(u) - {None}))) for a, t in notes for b, u in notes if a < b and set(t) & set(u) - {None}]
+    membership = spark.createDataFrame([(n, i % 3) for i, (n, _) in enumerate(notes)], "node string, community int")
+    whole = graph.modularity(spark.createDataFrame(shared, "src string, dst string, weight double"), membership).first()[0]
+    assert graph.tag_modularity(graph.tag_members(table), membership).first()[0] == pytest.approx(whole)
+
+
 def test_modularity_of_two_triangles(spark):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     table = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src string, dst string, weight double")
