@@ -85,21 +85,36 @@ class Engine:
         rows = [(i, t) for i, t in enumerate(texts)]
         return embed_column(self.spark.createDataFrame(rows, "query int, text string"), self.embedder)
 
+    def _lists(self, asked: DataFrame, units: DataFrame, many: int, with_graph: bool) -> dict[str, DataFrame]:
+        """The ranked list of each signal; the graph's only if it is asked for and there is one."""
+        c = self.config
+        lists = {"dense": self.nearest(asked, units, many), "bm25": self.words().search(asked, many, "query", "text")}
+        loaded = load_graph(self.spark, c.graph_path) if with_graph else None
+        if loaded is not None:
+            work = Workspace(self.spark, "lists")
+            lists = {n: work.table(df, n) for n, df in lists.items()}  # read for the seeds and for the fusion
+            notes = fusion.signals(**lists).join(units.where(F.col("kind") == SUMMARY).select("unit"), "unit", "left_anti")
+            seeds = fusion.fuse(notes, self._weights(c, lists), many, c.rrf_k).join(units.select("unit", "source"), "unit")
+            seeds = bm25.top_k(seeds.groupBy("query", F.col("source").alias("unit")).agg(F.max("score").alias("score")), c.graph_seed_notes)
+            near = graph.proximity(seeds.select("query", F.col("unit").alias("node")), loaded[1], c.graph_hops, work)
+            first = units.where("kind = ''").groupBy(F.col("source").alias("node")).agg(F.min_by("unit", "chunk_index").alias("unit"))
+            lists["graph"] = bm25.top_k(near.join(first, "node"), 1 << 30)
+        return lists
+
+    @staticmethod
+    def _weights(c: EngineConfig, lists: dict[str, DataFrame]) -> dict[str, float]:
+        """A configuration's weights of the lists that it uses: the graph's counts only with a weight."""
+        weights = {"dense": c.dense_weight, "bm25": c.bm25_weight}
+        return weights | ({"graph": c.graph_weight} if "graph" in lists and c.graph_weight else {})
+
     def search(self, texts: list[str], k: int = 5) -> DataFrame:
         """(query, rank, unit, source, header_path, text, preview, score, dense_rank, bm25_rank, graph_rank, kind, community_id)."""
         c, k = self.config, EngineConfig.clamp_k(k)
         units = self.store.read().withColumnRenamed("unit_id", "unit")
         asked, many = self._queries(texts), EngineConfig.candidate_k(k)
         summaries = units.where(F.col("kind") == SUMMARY).select("unit")
-        lists = {"dense": self.nearest(asked, units, many), "bm25": self.words().search(asked, many, "query", "text")}
-        weights = {"dense": c.dense_weight, "bm25": c.bm25_weight}
-        loaded = load_graph(self.spark, c.graph_path) if c.graph_weight else None
-        if loaded is not None:
-            seeds = fusion.fuse(fusion.signals(**lists).join(summaries, "unit", "left_anti"), weights, many, c.rrf_k).join(units.select("unit", "source"), "unit")
-            seeds = bm25.top_k(seeds.groupBy("query", F.col("source").alias("unit")).agg(F.max("score").alias("score")), c.graph_seed_notes)
-            near = graph.proximity(seeds.select("query", F.col("unit").alias("node")), loaded[1], c.graph_hops, Workspace(self.spark, "proximity"))
-            first = units.where("kind = ''").groupBy(F.col("source").alias("node")).agg(F.min_by("unit", "chunk_index").alias("unit"))
-            lists["graph"], weights["graph"] = bm25.top_k(near.join(first, "node"), 1 << 30), c.graph_weight
+        lists = self._lists(asked, units, many, bool(c.graph_weight))
+        weights = self._weights(c, lists)
         fused = fusion.fuse(fusion.signals(**lists), weights, k, c.rrf_k, summaries, c.summary_weight)
         if "graph_rank" not in fused.columns:
             fused = fused.withColumn("graph_rank", F.lit(None).cast("int"))
@@ -190,24 +205,19 @@ class Engine:
         def by_unit(ranked: DataFrame, method: str) -> DataFrame:
             return hits(evaluate.distinct_sources(ranked.join(sources, "unit")), method)
 
-        def fused(config: EngineConfig, method: str) -> DataFrame:
-            other = Engine(self.spark, config, self.embedder, self.generator)
-            return hits(evaluate.distinct_sources(other.search(texts, k)), method)
-
         files = vault.scan(self.spark, self.config.vault_path).withColumnRenamed("raw", "text")
         grep = evaluate.grep(files, gold.select("query", F.col("question").alias("text")), k)
         c = self.config
-        flat, whole = fused(replace(c, graph_weight=0.0, summary_weight=0.0), "flat"), fused(c, "integrated")
-        methods = [hits(grep.select("query", "source", "rank"), "grep"), by_unit(dense.dense_search(units, asked, many, "unit", query_id_col="query"), "dense"), by_unit(self.words().search(asked, many, "query", "text"), "bm25"), flat, whole]
-        rows = methods[0]
-        for m in methods[1:]:
-            rows = rows.unionByName(m)
-        swept = []
-        for setting, config in evaluate.sweep_settings(c):
-            swept.append(evaluate.segments(fused(config, setting)))
-        sweeps = swept[0]
-        for s in swept[1:]:
-            sweeps = sweeps.unionByName(s)
+        lists = {n: work.table(df, n) for n, df in self._lists(asked, units, many, True).items()}
+        configs = [("flat", replace(c, graph_weight=0.0, summary_weight=0.0)), ("integrated", c), *evaluate.sweep_settings(c)]
+        settings = [row for name, own in configs for row in fusion.setting(name, self._weights(own, lists), own.summary_weight)]
+        ranks = fusion.marked(fusion.signals(**lists), units.where(F.col("kind") == SUMMARY).select("unit"))
+        fused = fusion.sweep(ranks, self.spark.createDataFrame(settings, "setting string, signal string, weight double"), EngineConfig.clamp_k(k), c.rrf_k)
+        results = work.table(evaluate.first_hits_by_setting(gold, fused.join(sources, "unit"), [name for name, _ in configs]), "fused")
+        flat, whole = (results.where(F.col("method") == name) for name in ("flat", "integrated"))
+        rows = hits(grep.select("query", "source", "rank"), "grep").unionByName(by_unit(lists["dense"], "dense")).unionByName(by_unit(lists["bm25"], "bm25"))
+        rows = rows.unionByName(flat.select(*rows.columns)).unionByName(whole.select(*rows.columns))
+        sweeps = evaluate.segments(results.where(~F.col("method").isin("flat", "integrated")))
         regressed = self.spark.createDataFrame([(evaluate.regressed(flat, whole),)], "regressed boolean")
         return {"methods": evaluate.segments(rows), "changes": evaluate.rank_changes(flat, whole), "sweeps": sweeps.withColumnRenamed("method", "setting"), "regressed": regressed}
 

@@ -33,6 +33,15 @@ def first_hits(gold: DataFrame, ranked: DataFrame) -> DataFrame:
     return gold.join(hits, "query", "left")
 
 
+def first_hits_by_setting(gold: DataFrame, ranked: DataFrame, settings: list[str]) -> DataFrame:
+    """first_hits for each setting, as `method`, of ranked (setting, query, source, rank): one job for all of them. A
+    setting that found nothing has its rows, too."""
+    names = F.broadcast(gold.sparkSession.createDataFrame([(s,) for s in settings], "method string"))
+    both = gold.join(names).withColumn("query", F.struct("method", "query"))  # a stated set of questions, a few settings
+    found = distinct_sources(ranked.withColumn("query", F.struct(F.col("setting").alias("method"), "query")))
+    return first_hits(both, found).withColumn("query", F.col("query.query"))
+
+
 def metrics(results: DataFrame, *by: str, k: int = 5) -> DataFrame:
     """(by..., n, hit_at_k, mrr) of results with a nullable rank; a missing rank counts 0."""
     hit = F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))

@@ -37,6 +37,18 @@ def fuse(ranks: DataFrame, weights: dict[str, float], k: int, rrf_k: int = 60, s
     return top_k(ranks.groupBy("query", "unit").agg(*terms), k)
 
 
+def setting(name: str, weights: dict[str, float], summary_weight: float) -> list[tuple[str, str, float]]:
+    """Rows (setting, signal, weight) for `sweep` over `marked` ranks that stand for `fuse` with these weights."""
+    rows = [(name, s, w) for s, w in weights.items()]
+    return rows + [(name, f"summary/{s}", summary_weight if s == "dense" else w) for s, w in weights.items() if summary_weight != 0]
+
+
+def marked(ranks: DataFrame, summaries: DataFrame) -> DataFrame:
+    """ranks with the signals of summaries (unit) under names of their own."""
+    known = summaries.select("unit").distinct().withColumn("_summary", F.lit(True))
+    return ranks.join(known, "unit", "left").withColumn("signal", F.when(F.col("_summary"), F.concat(F.lit("summary/"), "signal")).otherwise(F.col("signal"))).drop("_summary")
+
+
 def sweep(ranks: DataFrame, settings: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     """(setting, query, unit, score, rank) for every row (setting, signal, weight) of a small settings table."""
     scored = ranks.join(F.broadcast(settings), "signal").groupBy("setting", "query", "unit").agg(F.sum(F.col("weight") / (rrf_k + F.col("rank"))).alias("score"))

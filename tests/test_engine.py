@@ -136,7 +136,9 @@ def test_approximate_vectors_follow_the_store(spark, config, tmp_path):
     ranks = lambda e: sorted((r["query"], r["dense_rank"], r["unit"]) for r in e.search(["compost worms", "fugue"], 5).collect())
     assert engine.vectors().exists() and ranks(engine) == ranks(exact)
     written = engine.distill("compost worms", write=True)["source"]
-    assert any(r["source"] == written and r["dense_rank"] and r["bm25_rank"] for r in engine.search(["compost worms"], 5).collect())
+    units = {r["unit_id"] for r in engine.store.read().where(F.col("source") == written).collect()}
+    coded = {r["unit"] for r in spark.read.parquet(f"{engine.vectors().path}/codes").collect()}
+    assert units and units <= coded and engine.words().n_units == engine.store.read().count()
     with pytest.raises(ValueError):
         replace(config, vector_search="other")
 
