@@ -38,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--date")
             c.add_argument("--write", action="store_true")
         if name == "agentic":
-            c.add_argument("--max-iter", type=int, default=2)
+            c.add_argument("--max-iter", type=int, default=2, choices=range(1, 6))
     return parser
 
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fathom.cli import _parser
 from fathom.config import EngineConfig
 from fathom.operators import answer, bm25, chunking, community, dense, evaluate, fusion, graph, store
 from fathom.operators.components import connected_components
@@ -20,6 +21,14 @@ def test_config_rejects_remote_endpoints(monkeypatch):
     assert EngineConfig.candidate_k(5) == 20 and EngineConfig.candidate_k(20) == 60 and EngineConfig.clamp_k(99) == 50
 
 
+def test_agentic_rounds_are_held_to_five():
+    parse = lambda *more: _parser().parse_args(["agentic", "q", *more]).max_iter
+    assert parse() == 2 and parse("--max-iter", "5") == 5
+    for wrong in ("0", "6"):
+        with pytest.raises(SystemExit):
+            parse("--max-iter", wrong)
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "the cat"), (2, "the dog"), (3, "the bird sings"), (4, ""), (5, None)], "unit_id int, text string")
     index = bm25.Bm25Index.build(docs)
