@@ -572,6 +572,19 @@ def windowed_events(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
+def event_sessions(spark, sf):
+    out = incremental.session_counts(_t(spark, sf, "events"), "ts", "30 minutes", "10 minutes", "user_id")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
+
+
+@query("""SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE FOR i IN range(4)]) AS start FROM events) GROUP BY ALL""")
+def sliding_event_counts(spark, sf):
+    out = incremental.windowed_counts(_t(spark, sf, "events"), "ts", "1 hour", "10 minutes", "event_type", slide="15 minutes")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
 def question_answer_turns(spark, sf):
     c = _t(spark, sf, "conversations")

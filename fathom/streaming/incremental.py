@@ -51,9 +51,21 @@ def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedde
     return arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, time_col: str, window: str, late: str, *by: str) -> DataFrame:
-    """Events per tumbling window and group, with a watermark; for streams and tables alike. Times without a zone are
-    taken as UTC session time first, which watermarks need."""
+def _timed(events: DataFrame, time_col: str, late: str) -> DataFrame:
+    """events with `_at`; times without a zone are taken as UTC session time, which watermarks need."""
     timed = events.withColumn("_at", F.col(time_col).cast("timestamp"))
-    timed = timed.withWatermark("_at", late) if events.isStreaming else timed
-    return timed.groupBy(F.window("_at", window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+    return timed.withWatermark("_at", late) if events.isStreaming else timed
+
+
+def windowed_counts(events: DataFrame, time_col: str, window: str, late: str, *by: str, slide: str | None = None) -> DataFrame:
+    """Events per window and group, with a watermark; for streams and tables alike. Windows tumble, or begin every `slide`."""
+    span = F.window("_at", window, slide) if slide else F.window("_at", window)
+    counted = _timed(events, time_col, late).groupBy(span.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").alias("start"), *by, "n")
+
+
+def session_counts(events: DataFrame, time_col: str, gap: str, late: str, *by: str) -> DataFrame:
+    """(start, finish, by..., n): runs of a group's events with no pause longer than gap; a session ends a gap after its last
+    event. A stream tells of a session once the watermark has passed its end; rows that come later than that are left out."""
+    counted = _timed(events, time_col, late).groupBy(F.session_window("_at", gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("finish"), *by, "n")
