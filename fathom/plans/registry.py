@@ -82,7 +82,7 @@ _SAVED: dict[tuple[str, str], segments.SegmentedIndex] = {}
 def _index(spark: SparkSession, sf: str) -> segments.SegmentedIndex:
     """The saved index of all documents. The first query of a session over a folder makes it, as `Engine.index` does."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _SAVED:
+    if key not in _SAVED or not _SAVED[key].exists():
         index = segments.SegmentedIndex(spark, Workspace(spark, "documents-bm25").path("index"))
         index.rebuild(_t(spark, sf, "documents"), "doc_id", None)
         _SAVED[key] = index
@@ -155,7 +155,7 @@ _ANN: dict[tuple[str, str], ann.AnnIndex] = {}
 def _ann(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """Approximate neighbours of the probes, from the saved index of all vectors, made by a session's first query."""
     key, vectors = (spark.sparkContext.applicationId, sf), _t(spark, sf, "embeddings")
-    if key not in _ANN:
+    if key not in _ANN or not _ANN[key].exists():
         index = ann.AnnIndex(spark, Workspace(spark, "embeddings-ann").path("index"))
         index.build(vectors, "vec_id")
         _ANN[key] = index
