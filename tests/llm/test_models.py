@@ -16,6 +16,8 @@ from fathom.llm.boosting import fit as fit_trees
 from fathom.llm.html_tree import parse
 from fathom.llm.queries import QUERIES
 from fathom.llm.warc import LoserTree, url_key, write_archive
+from tests.llm.layouts import LAYOUTS, QUOTED, UNSEEN
+from tests.llm.layouts import pages as layout_pages
 from tests.llm.test_documents import LONG, ROWS, SCHEMA, components, shingles
 
 SF, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -125,6 +127,15 @@ def test_extracted_text_of_pages_written_by_hand(spark):
     assert [r["text"] for r in sorted(got, key=lambda r: r["page_id"])] == [want] * 3
 
 
+def test_hand_written_layouts():
+    """QUOTED and LAYOUTS were known when the generator was written; UNSEEN was not, and has one page that comes out wrong."""
+    model = html_extract.default_model()
+    for layouts, least in ((QUOTED, len(QUOTED)), (LAYOUTS, 37), (UNSEEN, 18)):
+        wanted = layout_pages(layouts)
+        got = html_extract.main_texts([page for page, _ in wanted], model)
+        assert sum(g == want for g, (_, want) in zip(got, wanted, strict=True)) >= least
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain & simple", "x"), (4, "u", "<p>unclosed <b>bold", "x"), (5, "u", "<article><p>" + LONG + "</p></article>", "x"), (6, "u", "<script>only()</script><!-- no -->", "x"), (6, "u", "</div></p><", "x")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()
