@@ -558,6 +558,22 @@ def incremental_upsert(spark, sf):
     return store.upserted(units, units.where("cast(unit_id as long) % 50 = 0").withColumn("text", F.lit("new")))
 
 
+@query("""SELECT 'doc' || doc_id AS source, sha256(CASE WHEN lang = 'de' THEN 'neu: ' || text ELSE text END) AS text_sha FROM documents
+    WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+    UNION ALL SELECT 'page' || page_id, sha256(html) FROM pages""")
+def layered_store(spark, sf):
+    """The unit store after four changes, each a layer: all documents, new texts for the German ones, all pages, and toxic
+    documents and those without a text removed."""
+    docs, pages, labels = (_t(spark, sf, name) for name in ("documents", "pages", "labels"))
+    source, name = F.concat(F.lit("doc"), F.col("doc_id")).alias("source"), F.concat(F.lit("page"), F.col("page_id"))
+    units, kept = docs.select(source.alias("unit_id"), source, "text", "lang"), store.UnitStore(spark, Workspace(spark, "layered").root)
+    kept.replace(units.drop("lang"))
+    kept.upsert(units.where("lang = 'de'").drop("lang").withColumn("text", F.concat(F.lit("neu: "), "text")))
+    kept.upsert(pages.select(name.alias("unit_id"), name.alias("source"), F.col("html").alias("text")))
+    kept.upsert(units.drop("lang").limit(0), sources=labels.where("toxic = 1").select(source).union(units.where("text is null").select("source")))
+    return kept.read("").select("source", F.sha2("text", 256).alias("text_sha"))
+
+
 @query("SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 0 THEN '!' ELSE '' END) AS content_sha FROM documents WHERE doc_id % 10 = 0 OR doc_id % 4 = 0")
 def changed_only(spark, sf):
     docs = _t(spark, sf, "documents")

@@ -36,12 +36,14 @@ def index_stream(arrivals: DataFrame, store: UnitStore, checkpoint: str, embedde
     embedder = embedder or hashing_embedder()
 
     def put(batch: DataFrame, _: int) -> None:
-        notes = parse_notes(latest(batch, "source", "version").select("source", "raw"))
-        new = changed(store.read("").select("source", "content_sha", "public").distinct(), notes, digest=("content_sha", "public"))
         work = Workspace(batch.sparkSession, "arrivals")
-        sources = work.table(notes.select("source"), "sources")
+        notes = work.table(parse_notes(latest(batch, "source", "version").select("source", "raw")), "notes")
+        sources = notes.select("source")
+        known = store.read("").join(sources, "source", "left_semi").select("source", "content_sha", "public").distinct()
+        new = work.table(changed(known, notes, digest=("content_sha", "public")), "changed")
         fresh = work.table(units_of(new, embedder, chunk_size, chunk_overlap), "units")
-        store.upsert(fresh, sources=work.table(new.select("source"), "new"))
+        if not new.isEmpty():
+            store.upsert(fresh, sources=new)
         if words is not None:  # also notes that the store had before: a batch may have ended between the two
             words.upsert(store.read("").join(sources, "source", "left_semi"), sources)
         if vectors is not None:

@@ -197,6 +197,58 @@ def test_upsert_and_partitions_by_kind(spark, tmp_path):
     assert units.read().count() == 2
 
 
+def _unit_rows(spark, *rows):
+    return spark.createDataFrame([(f"{s}::{i}", s, t) for s, i, t in rows], "unit_id string, source string, text string")
+
+
+def _texts(units):
+    return sorted((r["unit_id"], r["text"]) for r in units.read().collect())
+
+
+def test_an_upsert_of_one_source_writes_kilobytes(spark, tmp_path):
+    units = store.UnitStore(spark, f"file://{tmp_path}/units")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda x: F.md5(F.concat(F.col("id").cast("string"), x.cast("string")))), " ")
+    units.replace(spark.range(1000).select(F.concat(F.lit("u"), "id").alias("unit_id"), F.concat(F.lit("s"), "id").alias("source"), words.alias("text")))
+    base = units.layers()[0]
+    units.upsert(_unit_rows(spark, ("s7", 0, "new")))
+    first, second = units.layers()
+    assert first == base and base["bytes"] > 5_000_000 and second["bytes"] < 20_000
+    assert units.read().count() == 1000 and units.read().where("source = 's7'").collect()[0]["text"] == "new"
+
+
+def test_layers_are_merged_and_stay_what_they_were(spark, tmp_path, monkeypatch):
+    """Random changes against a dictionary, with sizes so small that all merges happen."""
+    monkeypatch.setattr(store, "SMALL", 4000)
+    units, want, r = store.UnitStore(spark, f"file://{tmp_path}/units"), {}, random.Random(3)
+    most = 0
+    for step in range(9):
+        names = r.sample("abcdefghij", r.randint(1, 3))
+        rows = [(s, i, f"{s}{i}@{step}") for s in names[:-1] or names for i in range(r.randint(1, 3))]
+        want = {k: v for k, v in want.items() if k[0] not in names} | {(s, i): t for s, i, t in rows}
+        before = units.read()  # a plan made before a change still runs after it
+        count = len(_texts(units))
+        units.upsert(_unit_rows(spark, *rows), sources=spark.createDataFrame([(s,) for s in names] + [(None,)], "source string"))
+        assert before.count() == count and _texts(units) == sorted((f"{s}::{i}", t) for (s, i), t in want.items())
+        most = max(most, len(units.layers()))
+    assert store.FAN - 1 <= most <= 2 * store.FAN
+
+
+def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    units = store.UnitStore(spark, f"file://{tmp_path}/units")
+    units.replace(_unit_rows(spark, ("a", 0, "old"), ("b", 0, "b")))
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "replace_text", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        for change in (units.upsert, units.replace):
+            with pytest.raises(OSError):
+                change(_unit_rows(spark, ("a", 0, "new")))
+    assert _texts(units) == [("a::0", "old"), ("b::0", "b")]
+    assert units.vacuum() == 3 and units.vacuum() == 0  # two layers of units, one delete vector
+    units.upsert(_unit_rows(spark, ("a", 0, "new"), ("a", 0, "newer")))
+    assert _texts(units) == [("a::0", "new"), ("b::0", "b")]
+    units.upsert(spark.createDataFrame([], "unit_id string, source string, text string"), sources=spark.createDataFrame([("a",)], "source string"))
+    assert _texts(units) == [("b::0", "b")]
+
+
 def test_generation_failures_and_cache(spark):
     prompts = spark.createDataFrame([("a", "ok"), ("b", "bad")], "key string, prompt string")
 
