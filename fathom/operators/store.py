@@ -104,12 +104,19 @@ class UnitStore:
                 out = out.unionByName(self._live(k, layers).select(*out.columns))
         return out
 
-    def _write(self, kind: str, units: DataFrame, gone: DataFrame | None, own: bool = False) -> dict:
-        """Write a layer; the sources of its units are its delete vector if `own`. Files are as large as Spark's advisory
-        partition size, whatever the number of units."""
+    def _write(self, kind: str, units: DataFrame, gone: DataFrame | None, own: bool = False, unique: bool = True) -> dict:
+        """Write a layer; the sources of its units are its delete vector if `own`. Units are written where they are, without
+        a shuffle. Unless they are `unique`, repeated ids are looked for in what was written, and only if there are any it
+        is written once more without them."""
         name, root = uuid.uuid4().hex[:12], self._folder(kind)
         where = {part: f"{root}/{part}/layer={name}" for part in ("units", "gone")}
-        units.drop("kind").hint("rebalance", "source").write.parquet(where["units"])
+        units.drop("kind").write.parquet(where["units"])
+        if not unique:
+            written = self.spark.read.schema(units.drop("kind").schema).parquet(where["units"])
+            if not written.groupBy("unit_id").count().where("count > 1").isEmpty():
+                layer = self._write(kind, _one_each(written), gone, own)
+                self._remove(kind, [name])
+                return layer
         if own:
             gone = self.spark.read.schema(UNITS).parquet(where["units"])
         if gone is not None:
@@ -136,7 +143,7 @@ class UnitStore:
         """Replace all units of the sources (of those that occur in units, if none are given), then add units; others
         stay. Sources without units lose theirs. Of units that repeat a unit_id the first in the order of all their values
         stays. Units are computed once, so they may be costly."""
-        self._publish(kind, [*self.layers(kind), self._write(kind, _one_each(units), sources, own=sources is None)])
+        self._publish(kind, [*self.layers(kind), self._write(kind, units, sources, own=sources is None, unique=False)])
         self.compact(kind)
 
     def compact(self, kind: str = "") -> None:
@@ -163,13 +170,13 @@ class UnitStore:
 
 
 def _first_to_merge(layers: list[dict]) -> int | None:
-    """Where the layers begin that become one: the shortest run at the end that has FAN layers and none of a larger size than
-    the run's."""
+    """Where the layers begin that become one: the shortest run at the end that has FAN layers of one size and none of a
+    larger size. So a large layer is not rewritten for the sake of small ones."""
     for size in range(max(map(_size, layers), default=0) + 1):
         first = len(layers)
         while first and _size(layers[first - 1]) <= size:
             first -= 1
-        if len(layers) - first >= FAN:
+        if sum(_size(layer) == size for layer in layers[first:]) >= FAN:
             return first
     return None
 

@@ -233,6 +233,11 @@ def test_layers_are_merged_and_stay_what_they_were(spark, tmp_path, monkeypatch)
     assert store.FAN - 1 <= most <= 2 * store.FAN
 
 
+def test_a_large_layer_is_not_rewritten_for_small_ones():
+    layers = lambda *sizes: [{"bytes": store.SMALL * store.FAN**n} for n in sizes]
+    assert [store._first_to_merge(layers(*x)) for x in ((), (9,), (9, 0, 0, 0), (9, 0, 0, 0, 0), (9, 1, 0, 0, 0), (9, 1, 1, 1, 0, 1), (2, 0, 2, 2, 2))] == [None, None, None, 1, None, 1, 0]
+
+
 def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatch):
     units = store.UnitStore(spark, f"file://{tmp_path}/units")
     units.replace(_unit_rows(spark, ("a", 0, "old"), ("b", 0, "b")))
