@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -125,6 +126,19 @@ def test_tags_as_nodes_equal_their_pairs(spark):
     assert graph.tag_modularity(graph.tag_members(table), membership).first()[0] == pytest.approx(whole)
 
 
+def test_pairs_over_tags_are_made_once(spark, monkeypatch):
+    """A class is scored once for a query: what the steps write does not grow with the pairs."""
+    monkeypatch.setattr(graph, "CLASS_SHARE", 7)
+    monkeypatch.setattr(graph, "MOST_TASKS", 3)
+    notes = spark.createDataFrame([(f"n{i}", ["all", f"t{i % 2}"]) for i in range(300)] + [("far", ["t9"])], "source string, tags array<string>")
+    seeds = spark.createDataFrame([(q, f"n{q}") for q in range(4)], "query int, node string")
+    work, edges = Workspace(spark, "test"), spark.createDataFrame([], "src string, dst string, kind string, weight double")
+    got = graph.proximity(seeds, edges, 2, work, graph.tag_members(notes)).collect()
+    assert sorted((r["query"], r["node"], round(r["score"], 6)) for r in got) == sorted((q, f"n{i}", 2.2) for q in range(4) for i in range(300) if i != q)
+    folders = [f for f in Path(work.root.removeprefix("file://")).iterdir() if not f.name.startswith("members")]
+    assert sum(spark.read.parquet(f"file://{f}").count() for f in folders) < 500
+
+
 def test_modularity_of_two_triangles(spark):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     table = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src string, dst string, weight double")
