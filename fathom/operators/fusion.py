@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.storage import Workspace
+
 from .bm25 import top_k
 
 
@@ -57,5 +59,7 @@ def sweep(ranks: DataFrame, settings: DataFrame, k: int, rrf_k: int = 60) -> Dat
 
 
 def hydrate(ranked: DataFrame, units: DataFrame, *columns: str) -> DataFrame:
-    """Adds columns of units (unit, ...) to the few rows that were found."""
-    return ranked.join(units.select("unit", *columns), "unit", "left")
+    """Adds columns of units (unit, ...) to the few rows that were found; of the units only those found move."""
+    ranked = Workspace(ranked.sparkSession, "hydrate").table(ranked, "ranked")
+    found = units.select("unit", *columns).join(F.broadcast(ranked.select("unit").distinct()), "unit", "left_semi")
+    return ranked.join(found, "unit", "left")
