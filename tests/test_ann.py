@@ -1,6 +1,10 @@
 """The approximate index against the exact search."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fathom.operators import ann, dense
@@ -58,3 +62,26 @@ def test_only_probed_cells_are_read(spark, tmp_path):
     asked = spark.createDataFrame([(0,)], "query int")
     plan = index._candidates(block, fitted, asked, 20, 2, False, "int")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan
+
+
+def test_exact_search_holds_a_bounded_number_of_scores(monkeypatch):
+    monkeypatch.setattr(dense, "top_k", lambda df, k: df)
+    r = np.random.default_rng(6)
+    x, q = r.normal(size=(10_000, 4)), r.normal(size=(3000, 4))
+    base = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))), mapInArrow=lambda f, schema: f)
+    run = dense._searched(base, [{"q": i, "v": v} for i, v in enumerate(q)], 5, [pa.int64()], "", True)
+    batch = pa.RecordBatch.from_pydict({"unit": list(range(10_000)), "v": x.tolist()})
+    tracemalloc.start()
+    found = {}
+    for part in run(iter([batch])):
+        for query, unit, score in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+            if query in (0, 1500, 2999):
+                found.setdefault(query, []).append((-score, unit))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # all scores at once are 240 MB
+    scores = dense._unit(q) @ dense._unit(x).T
+    for query in found:
+        scores[query, query] = -np.inf
+        assert [u for _, u in sorted(found[query])[:5]] == np.argsort(-scores[query])[:5].tolist()
+    assert len(found) == 3
