@@ -1,15 +1,15 @@
 """Communities by the Leiden method (Traag et al., 2019) or greedy moves, component by component.
 
-Modularity couples components only through the total weight, so each component is a group of its own. Groups are
-solved in Python one at a time; a single component has to fit a task, which is the limit of this operator. Results do
+Modularity couples components only through the total weight, so each component is a group of its own. Groups come to
+Python one after the other in the batches of a sorted partition, many to a batch, and are solved one at a time; a single component has to fit a task, which is the limit of this operator. Results do
 not depend on partitioning: nodes are visited in sorted order, and a community is named by its smallest node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,8 +100,17 @@ def communities(edges: DataFrame, work: Workspace, method: str = "leiden") -> Da
     component = connected_components(edges, work, "src", "dst")
     grouped = edges.join(component.withColumnRenamed("node", "src"), "src").select("component", "src", "dst", "weight")
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        found = partition(zip(group["src"], group["dst"], group["weight"], strict=True), total, method)
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
-
-    return grouped.groupBy("component").applyInPandas(solve, "node string, community string")
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            found: dict[str, str] = {}
+            for name, *edge in zip(*(batch.column(c).to_pylist() for c in ("component", "src", "dst", "weight")), strict=True):
+                if name != now:
+                    found |= partition(held, total, method)
+                    now, held = name, []
+                held.append(edge)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], ["node", "community"])
+        found = partition(held, total, method)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], ["node", "community"])
+
+    return grouped.repartition("component").sortWithinPartitions("component").mapInArrow(solve, "node string, community string")

@@ -139,6 +139,20 @@ def test_pairs_over_tags_are_made_once(spark, monkeypatch):
     assert sum(spark.read.parquet(f"file://{f}").count() for f in folders) < 500
 
 
+def test_components_share_batches(spark):
+    """Groups are no calls of their own, and may reach over batches of any size."""
+    edges = [(f"{c:02}-{i}", f"{c:02}-{j}", 1.0) for c in range(12) for i in range(6) for j in range(i + 1, 6) if (i < 3) == (j < 3) or (i, j) == (2, 3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = community.communities(spark.createDataFrame(edges, "src string, dst string, weight double"), Workspace(spark, "test"))
+        assert {r["node"]: r["community"] for r in found.collect()} == community.partition(edges, 2.0 * len(edges)) and found.count() == 72
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsIn" not in plan
+
+
 def test_modularity_of_two_triangles(spark):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     table = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src string, dst string, weight double")
