@@ -139,6 +139,23 @@ def test_pairs_over_tags_are_made_once(spark, monkeypatch):
     assert sum(spark.read.parquet(f"file://{f}").count() for f in folders) < 500
 
 
+def test_pairs_are_only_laid_out(spark, monkeypatch):
+    """Digits and left out seeds are worked out for a share of notes; above the join, pairs come from its arrays alone."""
+    monkeypatch.setattr(graph, "CLASS_SHARE", 4)
+    notes = spark.createDataFrame([(f"n{i}", ["all"]) for i in range(30)] + [("entity::e", ["all"]), ("m", ["all", "b"])], "source string, tags array<string>")
+    seeds = spark.createDataFrame([(q, f"n{i}") for q in range(2) for i in range(9 * q + 1)], "query int, node string")
+    work, edges = Workspace(spark, "test"), spark.createDataFrame([], "src string, dst string, kind string, weight double")
+    got = graph.proximity(seeds, edges, 2, work, graph.tag_members(notes), digits=0)
+    want = [(q, n, 2.0) for q in range(2) for n in [f"n{i}" for i in range(9 * q + 1, 30)] + ["m"]]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    linked = spark.createDataFrame([("n1", "n2", "links_to", 1.0), ("far", "n0", "links_to", 1.0)], edges.schema)
+    found = sorted(tuple(r) for r in graph.proximity(seeds, linked, 2, work, graph.tag_members(notes), digits=0).collect())
+    assert found == sorted([*want, (0, "far", 3.0), (1, "far", 3.0)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "Generate explode" in above and "round(" not in above and "array_contains" not in plan
+
+
 def test_components_share_batches(spark):
     """Groups are no calls of their own, and may reach over batches of any size."""
     edges = [(f"{c:02}-{i}", f"{c:02}-{j}", 1.0) for c in range(12) for i in range(6) for j in range(i + 1, 6) if (i < 3) == (j < 3) or (i, j) == (2, 3)]
